@@ -30,8 +30,8 @@ from harrow.llm.components import components
 #: Differences that a group of ranges may hold, and ranges of a group.
 K2, N2 = 1, 3
 SEEDS = 3
-#: Members of a bucket up to which its unlinked pairs are compared one by one.
-SMALL = 64
+#: Members of a bucket up to which those that aren't linked are compared with each other.
+SMALL = 256
 
 
 @dataclass(frozen=True)
@@ -181,11 +181,52 @@ def buckets(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "bucket long, hub long, doc_id long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """Of the pairs (a, b), those whose texts' sets reach the similarity, by the whole sets."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    texts = might_hold(docs, "doc_id", wanted)
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+def sketches(docs: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, n, sketch) of (doc_id, text): a byte for each of 2**m ranges of the hash domain, the sum of what lies there.
+
+    Sets that differ in k elements differ in k bytes at most, so a sketch rules pairs out and never wrongly. There is a range for
+    two elements, about; sketches of half the length come from adding neighbours.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for _, _, buf, offs in chunks(batch.column(1)):
+                for s in sets(buf, offs, p.n):
+                    m = max(4, len(s).bit_length() - 1)
+                    total = np.zeros(len(s) + 1, np.uint64)
+                    np.cumsum(textvec.mix(s + textvec.R), out=total[1:])
+                    at = np.concatenate([[0], np.searchsorted(s >> np.uint64(64 - m), np.arange(1, 1 << m, dtype=np.uint64)), [len(s)]])
+                    n.append(len(s))
+                    out.append(np.diff(total[at]).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, sketch binary")
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    a = np.frombuffer(sketch, np.uint8)
+    return a if len(a) == size else a.reshape(size, -1).sum(axis=1, dtype=np.uint8)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, p: Params) -> DataFrame:
+    """Of the pairs (a, b), those whose texts' sets reach the similarity: sketches rule out most others, then whole sets decide."""
+    side = lambda c: sketched.select(F.col("doc_id").alias(c), F.struct("n", "sketch").alias(f"s{c}"))
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                few, many = sorted((x["n"], y["n"]))
+                size = min(len(x["sketch"]), len(y["sketch"]))
+                apart = np.count_nonzero(_folded(x["sketch"], size) != _folded(y["sketch"], size))
+                ok.append(few > 0 and 100 * few >= p.percent * many and apart <= few * (100 - p.percent) // p.percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    near = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+    near = cut(near.mapInArrow(sieve, "a long, b long").distinct())
+    texts = might_hold(docs, "doc_id", near.select(F.col("a").alias("doc_id")).union(near.select("b")))
+    both = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,26 +243,65 @@ def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _rest(members: DataFrame, labels: DataFrame, docs: DataFrame, p: Params, seed: int) -> DataFrame:
+def _unlinked(held: DataFrame, p: Params) -> DataFrame:
+    """(a, b): pairs within a bucket of (bucket, doc_id, component, n, sketch) that are in different components and that sketches don't rule out.
+
+    Members are compared block by block in place; only what passes is a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if t is None:
+            return
+        t = t.sort_by([("bucket", "ascending"), ("doc_id", "ascending")])
+        bucket, doc, comp, n = (t.column(i).to_numpy() for i in range(4))
+        sketch = t.column(4).to_pylist()
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        done: set[tuple[int, int]] = set()
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True):
+            size = min(len(sketch[i]) for i in range(lo, hi))
+            m = np.stack([_folded(sketch[i], size) for i in range(lo, hi)])
+            k = n[lo:hi] * (100 - p.percent) // p.percent
+            for i in range(hi - lo - 1):
+                other = i + 1 + np.flatnonzero(comp[lo + i + 1 : hi] != comp[lo + i])
+                for at in range(0, len(other), 4096):
+                    o = other[at : at + 4096]
+                    apart = np.count_nonzero(m[o] != m[i], axis=1)
+                    done.update((int(doc[lo + i]), int(doc[lo + j])) for j in o[apart <= np.minimum(k[o], k[i])])
+            if len(done) > 100_000:
+                yield _pairs(done)
+                done.clear()
+        yield _pairs(done)
+
+    dealt = held.select("bucket", "doc_id", "component", "n", "sketch").repartition(partitions(held.sparkSession), "bucket")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+
+
+def _rest(members: DataFrame, labels: DataFrame, docs: DataFrame, sketched: DataFrame, p: Params, seed: int) -> DataFrame:
     """Pairs that still need a look: members of one bucket that are in different components.
 
-    Small buckets give their pairs. Larger ones are dealt into smaller buckets first, by signatures under other seeds,
-    which similar sets share as well; after three seeds their pairs are compared, too, so the result is whole.
+    Larger buckets are dealt into smaller ones first, by signatures under other seeds, which similar sets share as well;
+    after three rounds their members are compared, too, so the result is whole.
     """
     held = members.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    held = cut(held.join(sizes.select("bucket", "n"), "bucket"))
-    small = held if seed >= 4 else held.where(F.col("n") <= SMALL)
-    other = small.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    pairs = small.join(other, "bucket").where("doc_id < b and component <> cb").select(F.col("doc_id").alias("a"), "b").distinct()
-    if seed >= 4:
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    held = cut(held.join(sizes.select("bucket", "size"), "bucket"))
+    last = seed >= 3
+    small = (held if last else held.where(F.col("size") <= SMALL)).join(sketched, "doc_id")
+    pairs = _unlinked(small, p)
+    if last:
         return pairs
-    large = held.where(F.col("n") > SMALL).select("bucket", "doc_id").distinct()
+    large = held.where(F.col("size") > SMALL).select("bucket", "doc_id").distinct()
     if large.limit(1).count() == 0:
         return pairs
     texts = might_hold(docs, "doc_id", large.select("doc_id")).join(large, "doc_id").select("doc_id", "text", "bucket")
     finer = cut(buckets(signature_rows(texts, p, SEEDS * (seed + 1), bucket=True)))
-    return pairs.union(_rest(finer.select("bucket", "doc_id"), labels, docs, p, seed + 1)).distinct()
+    return pairs.union(_rest(finer.select("bucket", "doc_id"), labels, docs, sketched, p, seed + 1)).distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -245,11 +325,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     met = met.join(to_rep, "doc_id", "left").select("bucket", "hub", F.coalesce("rep", "doc_id").alias("doc_id"))
     met = cut(met.join(to_rep.select(F.col("doc_id").alias("hub"), F.col("rep").alias("hub_rep")), "hub", "left").select("bucket", F.coalesce("hub_rep", "hub").alias("hub"), "doc_id").distinct())
     star = cut(met.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
-    links = cut(verified(star, docs, p))
+    sketched = cut(sketches(might_hold(docs, "doc_id", met.select("doc_id")), p).dropDuplicates(["doc_id", "sketch"]))
+    links = cut(verified(star, docs, sketched, p))
     labels = components(links).withColumnRenamed("node", "doc_id")
-    rest = cut(_rest(met.select("bucket", "doc_id").distinct(), labels, docs, p, 0).join(star, ["a", "b"], "left_anti"))
+    rest = cut(_rest(met.select("bucket", "doc_id").distinct(), labels, docs, sketched, p, 0).join(star, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        links = links.union(cut(verified(rest, docs, p)))
+        links = links.union(cut(verified(rest, docs, sketched, p)))
     whole = components(links.union(copies))
     return (
         own.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
