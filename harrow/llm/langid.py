@@ -116,31 +116,51 @@ class Model:
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The best labels of the words: the sum of their scores less `penalty` for each switch is largest; ties stay."""
+    """The best labels of the words: the sum of their scores less `penalty` for each switch is largest; ties stay.
+
+    A stretch of words that gain `penalty` or less in every other language than the one with the best sum stays in that, as
+    each language on the way costs a switch. So the recursion is run only from where no language has gained anything,
+    before a stretch that gains more, until the best language again leads all others by a switch.
+    """
     n, k = scores.shape
-    total = scores.sum(axis=0)
-    best = int(total.argmax())
-    if n < 2 or k < 2 or not _may_switch(scores, best, penalty):
-        return np.full(n, best)
-    back = np.empty((n, k), np.int32)
-    v = scores[0].copy()
-    stay = np.arange(k)
-    for t in range(1, n):
-        m = int(v.argmax())
-        jump = v[m] - penalty
-        back[t] = np.where(v >= jump, stay, m)
-        v = np.maximum(v, jump) + scores[t]
-    out = np.empty(n, np.int64)
-    out[-1] = int(v.argmax())
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+    best = int(scores.sum(axis=0).argmax()) if n else 0
+    out = np.full(n, best)
+    if n < 2 or k < 2:
+        return out
+    total = np.zeros((n + 1, k))
+    np.cumsum(scores - scores[:, best : best + 1], axis=0, out=total[1:])
+    gain = total - np.minimum.accumulate(total, axis=0)
+    pays = np.flatnonzero((gain > penalty).any(axis=1))
+    behind = (gain == 0) & (total <= -penalty)  # by all that a switch costs; a path may start in any language for nothing
+    behind[0] = behind[:, best] = True
+    level = np.flatnonzero(behind.all(axis=1))
+    at = 0
+    while len(pays) and (first := int(np.searchsorted(pays, at + 1))) < len(pays):
+        a = max(at, int(level[np.searchsorted(level, pays[first], side="right") - 1]))
+        at = _run(scores, best, penalty, a, out)
     return out
 
 
-def _may_switch(scores: np.ndarray, best: int, penalty: float) -> bool:
-    """Whether leaving `best` can pay at all: no stretch in which other languages gain a switch's cost, no switch."""
-    gain = np.concatenate([[0], np.cumsum(np.max(scores - scores[:, best : best + 1], axis=1))])
-    return bool((gain - np.minimum.accumulate(gain)).max() > penalty)
+def _run(scores: np.ndarray, best: int, penalty: float, a: int, out: np.ndarray) -> int:
+    """Labels from word a on, until `best` leads by a switch; where that is. Before a, if not at the start, the label is `best`."""
+    k = scores.shape[1]
+    stay = list(range(k))
+    v = [0.0 if a == 0 or j == best else -penalty for j in stay]
+    back: list[list[int]] = []
+    t = a
+    for row in scores[a:].tolist():
+        m = max(stay, key=v.__getitem__)
+        jump = v[m] - penalty
+        back.append([j if v[j] >= jump else m for j in stay])
+        v = [max(x, jump) + s for x, s in zip(v, row, strict=True)]
+        t += 1
+        if t > a + 1 and all(v[j] <= v[best] - penalty for j in stay if j != best):
+            break
+    j = max(stay, key=v.__getitem__)
+    for i in range(len(back) - 1, -1, -1):
+        out[a + i] = j
+        j = back[i][j]
+    return t
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
