@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import decontam, html_extract, jaccard_join, langid, packing, quality_gam, quality_rules, suffix_dedup
+from harrow.llm import decontam, html_extract, jaccard_join, langid, packing, pii, quality_gam, quality_rules, suffix_dedup
 from harrow.llm.common import table, tokenizer_path
 
 
+#: Of the registered query only; real runs bring a secret of their own.
+SAMPLE_KEY = "sample key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"), SAMPLE_KEY).select("doc_id", "text", "n_entities")
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -56,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontaminate": op4_decontaminate,
