@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of the bitmap in might_hold(): 2**16 words of 64 bits, 1 MB at most whatever the input.
@@ -65,12 +65,8 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def might_hold(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of df whose key may be among wanted's single column: all that are, and few others.
-
-    wanted becomes a bitmap of a fixed size (BITMAP_WORDS rows), so what is broadcast doesn't grow with the data. Rows
-    that pass by chance are for the join that follows; null keys don't pass.
-    """
+def _marked(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, Column]:
+    """df with helper columns, and whether a row's key may be among wanted's single column."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS * 64))
     name = wanted.columns[0]
     words = (
@@ -79,14 +75,27 @@ def might_hold(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         .groupBy(F.shiftrightunsigned("__b", 6).alias("__w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, int(__b % 64))")).alias("__m"))
     )
-    b = bit(F.col(key))
-    return (
-        df.withColumn("__b", b)
-        .withColumn("__w", F.shiftrightunsigned("__b", 6))
-        .join(F.broadcast(words), "__w")
-        .where(F.expr("getbit(__m, int(__b % 64)) = 1"))
-        .drop("__b", "__w", "__m")
-    )
+    df = df.withColumn("__b", bit(F.col(key))).withColumn("__w", F.shiftrightunsigned("__b", 6)).join(F.broadcast(words), "__w", "left")
+    return df, F.expr("coalesce(getbit(__m, int(__b % 64)) = 1, false)")
+
+
+def might_hold(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of df whose key may be among wanted's single column: all that are, and few others.
+
+    wanted becomes a bitmap of a fixed size (BITMAP_WORDS rows), so what is broadcast doesn't grow with the data. Rows
+    that pass by chance are for the join that follows.
+    """
+    marked, may = _marked(df, key, wanted)
+    return marked.where(may).select(*df.columns)
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of df whose key isn't among gone's single column; null keys stay. Only rows that the bitmap can't clear are shuffled."""
+    marked, may = _marked(df, key, gone)
+    rest = might_hold(df, key, gone)
+    name = gone.columns[0]
+    gone = gone.select(F.col(name).alias("__gone")).distinct()
+    return marked.where(~may).select(*df.columns).union(rest.join(gone, rest[key] == F.col("__gone"), "left_anti").select(*df.columns))
 
 
 def tokenizer_path(name: str) -> str:

@@ -8,9 +8,9 @@ differences, and hence n2 - K2 of its ranges hold none: the enumerated subset of
 sets share. Subsets in which a set has no element say nothing; a set with such a subset is partitioned again under another
 seed, and only the last seed keeps signatures of empty subsets, so no pair is lost.
 
-Equal sets are one class from the start. Within a signature's bucket, each class is compared with the smallest one only; buckets whose members
-are then still in several components go on with what is left (see _rest), so links between any two texts count while
-pairs are never enumerated in groups that are linked already.
+Equal sets are one class from the start. Within a signature's bucket, each class is compared with the smallest one only. Families
+(what shared signatures connect) whose members are then still in several components go on with these, see _rest, so
+links between any two texts count while pairs are never enumerated among those that are linked already.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import textvec
-from harrow.llm.common import chunks, cut, might_hold, partitions
+from harrow.llm.common import chunks, cut, might_hold, partitions, without
 from harrow.llm.components import components
 
 #: Differences that a group of ranges may hold, and ranges of a group.
 K2, N2 = 1, 3
 SEEDS = 3
-#: Members of a bucket up to which those that aren't linked are compared with each other.
-SMALL = 256
+#: Members of a slice of a family that one task compares with each other.
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -67,12 +67,12 @@ def bands(percent: int, size: int) -> list[int]:
     return ends
 
 
-def signatures(s: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
-    """The PartEnum signatures of a sorted set under the seeds from `seed` on."""
+def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """The PartEnum signatures of a sorted set."""
     out = []
     ends = bands(percent, len(s))
     band = int(np.searchsorted(ends, len(s)))
-    for k_seed in range(seed, seed + SEEDS):
+    for k_seed in range(SEEDS):
         if k_seed:
             s = textvec.mix(s ^ np.uint64(k_seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             s.sort()
@@ -94,7 +94,7 @@ def signatures(s: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
             full = (size.sum(axis=1, keepdims=True) - size) > 0
             tag = np.arange(units, dtype=np.uint64).reshape(n1, N2) + np.uint64(b << 32) + np.uint64(k_seed << 56)
             sig = textvec.mix(textvec.mix(subset) + tag * textvec.R)
-            if k_seed < seed + SEEDS - 1:
+            if k_seed < SEEDS - 1:
                 empty |= not full.all()
                 sig = sig[full]
             out.append(sig.ravel())
@@ -122,26 +122,22 @@ def digests(docs: DataFrame, p: Params) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n_shingles long, d1 long, d2 long")
 
 
-def signature_rows(docs: DataFrame, p: Params, seed: int = 0, bucket: bool = False) -> DataFrame:
-    """(sig, doc_id) of (doc_id, text); with `bucket`, of (doc_id, text, bucket), where signatures hold within a bucket only.
-
-    A task gives the signatures of a set once, under the first document that has it.
-    """
+def signature_rows(docs: DataFrame, p: Params) -> DataFrame:
+    """(sig, doc_id) of (doc_id, text). A task gives the signatures of a set once, under the first document that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids, where = batch.column(0), batch.column(2).to_pylist() if bucket else None
+            ids = batch.column(0)
             for lo, _, buf, offs in chunks(batch.column(1)):
                 sigs, rows = [], []
                 for i, s in enumerate(sets(buf, offs, p.n)):
-                    key = (*_digest(s), where[lo + i] if bucket else 0)
+                    key = _digest(s)
                     if not len(s) or key in seen or not ids[lo + i].is_valid:
                         continue
                     seen.add(key)
-                    sig = signatures(s, p.percent, seed)
-                    sigs.append(textvec.mix(sig + np.uint64(where[lo + i] & (1 << 64) - 1)) if bucket else sig)
-                    rows.append((lo + i, len(sig)))
+                    sigs.append(signatures(s, p.percent))
+                    rows.append((lo + i, len(sigs[-1])))
                 if rows:
                     index = np.repeat([r for r, _ in rows], [k for _, k in rows])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), ids.take(pa.array(index))], names=["sig", "doc_id"])
@@ -149,11 +145,8 @@ def signature_rows(docs: DataFrame, p: Params, seed: int = 0, bucket: bool = Fal
     return docs.mapInArrow(run, "sig long, doc_id long")
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, hub, doc_id): members of signature buckets with two documents or more; hub is the smallest.
-
-    Buckets of the same members are one, named by a hash of them, so a pair that shares many signatures is kept few times.
-    """
+def stars(rows: DataFrame) -> DataFrame:
+    """(a, b): the smallest document of each signature's bucket with each other one in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -163,29 +156,25 @@ def buckets(rows: DataFrame) -> DataFrame:
         got.clear()
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
-        keep = np.ones(len(sig), bool)
-        keep[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-        sig, doc = sig[keep], doc[keep]
-        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        n = np.diff(np.concatenate([begin, [len(sig)]]))
-        name = np.add.reduceat(textvec.mix(doc.view(np.uint64) + textvec.R), begin)
-        multi = n > 1
-        _, once = np.unique(name, return_index=True)
-        chosen = np.zeros(len(n), bool)
-        chosen[once] = True
-        chosen &= multi
-        rows = np.repeat(chosen, n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[chosen], n[chosen]).view(np.int64)), pa.array(np.repeat(doc[begin][chosen], n[chosen])), pa.array(doc[rows])], names=["bucket", "hub", "doc_id"])
-
-    dealt = rows.repartition(partitions(rows.sparkSession), "sig")
-    return dealt.mapInArrow(run, "bucket long, hub long, doc_id long").distinct()
+        first = np.ones(len(sig), bool)
+        first[1:] = sig[1:] != sig[:-1]
+        hub = doc[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+        other = doc != hub
+        a, b = hub[other], doc[other]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        once = np.ones(len(a), bool)
+        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], names=["a", "b"])
+
+    return rows.repartition(partitions(rows.sparkSession), "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
     """(doc_id, n, sketch) of (doc_id, text): a byte for each of 2**m ranges of the hash domain, the sum of what lies there.
 
     Sets that differ in k elements differ in k bytes at most, so a sketch rules pairs out and never wrongly. There is a range for
-    two elements, about; sketches of half the length come from adding neighbours.
+    three elements, about; sketches of half the length come from adding neighbours.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +182,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
             n, out = [], []
             for _, _, buf, offs in chunks(batch.column(1)):
                 for s in sets(buf, offs, p.n):
-                    m = max(4, len(s).bit_length() - 1)
+                    m = max(4, len(s).bit_length() - 2)
                     total = np.zeros(len(s) + 1, np.uint64)
                     np.cumsum(textvec.mix(s + textvec.R), out=total[1:])
                     at = np.concatenate([[0], np.searchsorted(s >> np.uint64(64 - m), np.arange(1, 1 << m, dtype=np.uint64)), [len(s)]])
@@ -243,37 +232,70 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, p: Params)
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _unlinked(held: DataFrame, p: Params) -> DataFrame:
-    """(a, b): pairs within a bucket of (bucket, doc_id, component, n, sketch) that are in different components and that sketches don't rule out.
+def _slices(active: DataFrame, p: Params) -> DataFrame:
+    """(slice, doc_id, component, n, sketch): members of a family that may be similar by size, BLOCK of them and BLOCK others at most, about.
+
+    A slice has one size band and the next one. A larger one is cut into blocks, and every two blocks meet.
+    """
+
+    def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(3).to_numpy()
+            ends = np.array(bands(p.percent, int(n.max(initial=1))))
+            band = np.searchsorted(ends, n)
+            family = batch.column(0).to_numpy().view(np.uint64)
+            for back in (0, 1):
+                s = textvec.mix(family + (band - back).astype(np.uint64) * textvec.R).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), *batch.columns[1:]], names=["slice", *batch.schema.names[1:]])
+
+    rows = cut(active.mapInArrow(by_size, "slice long, doc_id long, component long, n long, sketch binary"))
+    sizes = rows.groupBy("slice").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rows = rows.join(sizes.where("lo < hi").select("slice", F.ceil(F.col("size") / BLOCK).alias("blocks")), "slice")
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, doc, blocks = (batch.column(i).to_numpy() for i in (0, 1, 5))
+            own = (textvec.mix(doc.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            for k in range(int(blocks.max(initial=0))):
+                at = np.flatnonzero(k < blocks)
+                lo, hi = np.minimum(own[at], k), np.maximum(own[at], k)
+                pair = textvec.mix(s[at].view(np.uint64) + textvec.mix((lo * (1 << 31) + hi).view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), *(batch.column(i).take(pa.array(at)) for i in range(1, 5))], names=batch.schema.names[:5])
+
+    return rows.mapInArrow(by_block, "slice long, doc_id long, component long, n long, sketch binary")
 
-    Members are compared block by block in place; only what passes is a row.
+
+def _unlinked(active: DataFrame, p: Params) -> DataFrame:
+    """(a, b): pairs of a family's members in different components that sketches don't rule out.
+
+    Members are compared slice by slice in place; only what passes is a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if t is None:
+        got = list(batches)
+        if not got:
             return
-        t = t.sort_by([("bucket", "ascending"), ("doc_id", "ascending")])
-        bucket, doc, comp, n = (t.column(i).to_numpy() for i in range(4))
+        t = pa.Table.from_batches(got).sort_by([("slice", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
+        name, doc, comp, n = (t.column(i).to_numpy() for i in range(4))
         sketch = t.column(4).to_pylist()
-        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        done: set[tuple[int, int]] = set()
-        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True):
+        begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        found: set[tuple[int, int]] = set()
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(name)], strict=True):
             size = min(len(sketch[i]) for i in range(lo, hi))
             m = np.stack([_folded(sketch[i], size) for i in range(lo, hi)])
             k = n[lo:hi] * (100 - p.percent) // p.percent
-            for i in range(hi - lo - 1):
-                other = i + 1 + np.flatnonzero(comp[lo + i + 1 : hi] != comp[lo + i])
-                for at in range(0, len(other), 4096):
-                    o = other[at : at + 4096]
-                    apart = np.count_nonzero(m[o] != m[i], axis=1)
-                    done.update((int(doc[lo + i]), int(doc[lo + j])) for j in o[apart <= np.minimum(k[o], k[i])])
-            if len(done) > 100_000:
-                yield _pairs(done)
-                done.clear()
-        yield _pairs(done)
-
-    dealt = held.select("bucket", "doc_id", "component", "n", "sketch").repartition(partitions(held.sparkSession), "bucket")
+            last = lo + np.searchsorted(n[lo:hi], n[lo:hi] * 100 // p.percent, side="right")
+            for i in range(lo, hi):
+                other = i + 1 + np.flatnonzero(comp[i + 1 : last[i - lo]] != comp[i])
+                if len(other):
+                    apart = np.count_nonzero(m[other - lo] != m[i - lo], axis=1)
+                    found.update((min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j]))) for j in other[apart <= k[i - lo]])
+            if len(found) > 100_000:
+                yield _pairs(found)
+                found.clear()
+        yield _pairs(found)
+
+    dealt = _slices(active, p).repartition(partitions(active.sparkSession), "slice")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -282,26 +304,17 @@ def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
-def _rest(members: DataFrame, labels: DataFrame, docs: DataFrame, sketched: DataFrame, p: Params, seed: int) -> DataFrame:
-    """Pairs that still need a look: members of one bucket that are in different components.
+def _rest(star: DataFrame, labels: DataFrame, sketched: DataFrame, p: Params) -> DataFrame:
+    """Pairs that still need a look: members of one family, of what shared signatures connect, that are in different components.
 
-    Larger buckets are dealt into smaller ones first, by signatures under other seeds, which similar sets share as well;
-    after three rounds their members are compared, too, so the result is whole.
+    Any two documents that share a signature are in one family. A document is in one family only, so these are fewer rows
+    than the members of all buckets.
     """
-    held = members.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    held = cut(held.join(sizes.select("bucket", "size"), "bucket"))
-    last = seed >= 3
-    small = (held if last else held.where(F.col("size") <= SMALL)).join(sketched, "doc_id")
-    pairs = _unlinked(small, p)
-    if last:
-        return pairs
-    large = held.where(F.col("size") > SMALL).select("bucket", "doc_id").distinct()
-    if large.limit(1).count() == 0:
-        return pairs
-    texts = might_hold(docs, "doc_id", large.select("doc_id")).join(large, "doc_id").select("doc_id", "text", "bucket")
-    finer = cut(buckets(signature_rows(texts, p, SEEDS * (seed + 1), bucket=True)))
-    return pairs.union(_rest(finer.select("bucket", "doc_id"), labels, docs, sketched, p, seed + 1)).distinct()
+    families = components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    held = families.join(labels, "doc_id", "left").select("family", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    open_ = held.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
+    active = held.join(open_, "family").join(sketched, "doc_id").select("family", "doc_id", "component", "n", "sketch")
+    return _unlinked(active, p)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -315,20 +328,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     p = Params(n, percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     own = cut(digests(docs, p))
-    full = own.where("n_shingles > 0 and doc_id is not null")
+    full = own.where("n_shingles > 0 and doc_id is not null").distinct()
     same = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = cut(full.join(same, ["n_shingles", "d1", "d2"]).select("doc_id", "rep").distinct())
+    reps = cut(full.join(same, ["n_shingles", "d1", "d2"]).select("doc_id", "rep"))
     copies = reps.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    met = buckets(signature_rows(docs, p))
     # documents with equal sets stand for one another: the smallest is looked at
-    to_rep = reps.where("doc_id <> rep")
-    met = met.join(to_rep, "doc_id", "left").select("bucket", "hub", F.coalesce("rep", "doc_id").alias("doc_id"))
-    met = cut(met.join(to_rep.select(F.col("doc_id").alias("hub"), F.col("rep").alias("hub_rep")), "hub", "left").select("bucket", F.coalesce("hub_rep", "hub").alias("hub"), "doc_id").distinct())
-    star = cut(met.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
-    sketched = cut(sketches(might_hold(docs, "doc_id", met.select("doc_id")), p).dropDuplicates(["doc_id", "sketch"]))
+    a = copies.select(F.col("b").alias("a"), F.col("a").alias("ra"))
+    b = copies.select("b", F.col("a").alias("rb"))
+    star = stars(signature_rows(docs, p)).join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    star = cut(star.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = star.select(F.col("a").alias("doc_id")).union(star.select("b"))
+    sketched = cut(sketches(might_hold(docs, "doc_id", met), p).dropDuplicates(["doc_id", "sketch"]))
     links = cut(verified(star, docs, sketched, p))
     labels = components(links).withColumnRenamed("node", "doc_id")
-    rest = cut(_rest(met.select("bucket", "doc_id").distinct(), labels, docs, sketched, p, 0).join(star, ["a", "b"], "left_anti"))
+    rest = cut(_rest(star, labels, sketched, p).join(star, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         links = links.union(cut(verified(rest, docs, sketched, p)))
     whole = components(links.union(copies))
@@ -341,8 +354,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """docs, with all its columns, without the rows whose text is linked to one of a smaller id.
 
-    Of rows that share an id and are alike in all columns, one stays; rows with a null id stay.
+    Rows that share an id stay or go together; rows with a null id stay.
     """
     found = groups(docs, id_col, text_col, n, percent)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return without(docs, id_col, found.where(F.col("component_id") < F.col(id_col)).select(id_col))

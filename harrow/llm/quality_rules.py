@@ -31,6 +31,8 @@ LEAST_ROWS = 40
 CUTOFF = 20.5
 #: What a covariance of the nearest 3/4 in 5 normal dimensions is short of (the share within the quantile, by the next chi-square).
 CONSISTENCY = 1.68
+#: Groups (of some 200 bytes) that are broadcast at most; more are shuffled.
+MOST_BROADCAST = 50_000
 _BINS = 32
 
 
@@ -129,7 +131,7 @@ def estimates(rows: DataFrame, x: tuple[str, ...] = VECTOR) -> DataFrame:
     start = est.withColumns({f"s_{i}_{j}": (F.pow(F.col(f"mad_{i}") * 1.4826, 2) if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)})
     est = cut(_factor(start, x))
     for _ in range(STEPS):
-        near = _whitened(rows.join(est, "grp"), x).select("grp", *x, _bin(F.col("d2")).alias("b"))
+        near = _whitened(_with_groups(rows, est, ["grp"]), x).select("grp", *x, _bin(F.col("d2")).alias("b"))
         limit = _quantile(near, "b", COVERAGE, "limit")
         held = near.join(limit, "grp").where(F.col("b") <= F.col("limit"))
         sums = held.groupBy("grp").agg(
@@ -146,36 +148,58 @@ def estimates(rows: DataFrame, x: tuple[str, ...] = VECTOR) -> DataFrame:
     return est
 
 
+def _measured(rows: DataFrame) -> DataFrame:
+    """rows (of __lang, __source, __text and others) with statistics, vectors and base_failed, without __text."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    stats = vectors(statistics(rows, "__text")).drop("__text")
+    return stats.withColumns({"base_failed": F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"), "__lang": part("__lang"), "__source": part("__source")})
+
+
+def _fitted(stats: DataFrame) -> DataFrame:
+    """(__lang, __source, m_i, l_i_j) of those that have an estimate, by the rows that pass the base rules."""
+    passed = stats.where("not base_failed").select("__lang", "__source", *VECTOR)
+    sizes = passed.groupBy("__lang", "__source").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") < LEAST_ROWS).groupBy("__lang").agg(F.sum("n").alias("n_small"))
+    by_lang = F.when(F.col("n_small") >= LEAST_ROWS, F.to_json(F.array("__lang"))).otherwise("[]")
+    named = cut(sizes.join(small, "__lang", "left").select("__lang", "__source", F.when(F.col("n") >= LEAST_ROWS, F.to_json(F.array("__lang", "__source"))).otherwise(by_lang).alias("grp")))
+    rows = _with_groups(passed, named, ["__lang", "__source"]).select("grp", *VECTOR)
+    enough = rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("grp")
+    return cut(named.join(estimates(rows.join(enough, "grp", "left_semi")), "grp").drop("grp"))
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """rows, left joined with a row per group, which is broadcast if it is few rows, counted first."""
+    return rows.join(F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups, on, "left")
+
+
+def _verdict() -> Column:
+    return ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= CUTOFF))
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: the columns `keep` (doc_id), the statistics, base_failed, distance (squared; null without an estimate) and kept.
+    """One row per row of docs: the columns `keep` (doc_id), the statistics, base_failed, kept, distance (squared; null without an estimate).
 
     base_failed: fewer than 50 words, or more than half of them in 3-word windows that repeat. Only rows that pass the
     base rules are in the estimates. A null language or source is a group of its own. A null text has no words and
-    fails the base rules. A group too small for an estimate joins the others of its language, then those of all
+    fails the base rules. A group too small for an estimate joins the other small ones of its language, then those of all
     languages; fewer than LEAST_ROWS in all are not judged by distance, and pass. Repeated rows count each.
     """
     keep = keep or ["doc_id"]
-    named = docs.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text"))
-    stats = vectors(statistics(named, "__text")).drop("__text")
-    stats = cut(stats.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")))
-    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    stats = stats.withColumns({"__lang": part("__lang"), "__source": part("__source")})
-    sizes = stats.where("not base_failed").groupBy("__lang", "__source").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < LEAST_ROWS).groupBy("__lang").agg(F.sum("n").alias("n_small"))
-    named_as = sizes.join(small, "__lang", "left").select(
-        "__lang",
-        "__source",
-        F.when(F.col("n") >= LEAST_ROWS, F.to_json(F.array("__lang", "__source"))).when(F.col("n_small") >= LEAST_ROWS, F.to_json(F.array("__lang"))).otherwise("[]").alias("grp"),
-    )
-    stats = cut(stats.join(named_as, ["__lang", "__source"], "left"))
-    rows = stats.where("not base_failed").select("grp", *VECTOR)
-    enough = rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("grp")
-    est = estimates(rows.join(enough, "grp", "left_semi"))
-    out = _whitened(stats.join(est, "grp", "left"), VECTOR)
+    rows = docs.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text"))
+    stats = cut(_measured(rows))
+    out = _whitened(_with_groups(stats, _fitted(stats), ["__lang", "__source"]), VECTOR)
     return out.select(
         *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)),
         *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
-        (~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= CUTOFF))).alias("kept"),
+        _verdict().alias("kept"),
         F.col("d2").alias("distance"),
         *VECTOR,
     )
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps. Texts are measured again rather than shuffled."""
+    side = [F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text")]
+    fitted = _fitted(cut(_measured(docs.select(*side)).select("__lang", "__source", "base_failed", *VECTOR)))
+    rows = _measured(docs.select(F.struct(*docs.columns).alias("__row"), *side))
+    return _whitened(_with_groups(rows, fitted, ["__lang", "__source"]), VECTOR).where(_verdict()).select("__row.*")

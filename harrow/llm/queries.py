@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import decontam, html_extract, jaccard_join, langid, packing, pii, quality_gam, quality_rules, suffix_dedup
+from harrow.llm import decontam, html_extract, jaccard_join, langid, packing, pii, quality_gam, quality_rules, suffix_dedup, warc
 from harrow.llm.common import table, tokenizer_path
 
 
@@ -43,6 +43,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.responses(table(spark, sf_dir, "pages"))
+    return warc.derivatives(records, keep=["page_id"]).drop("record")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_language_id": op7_language_id,
     "op8_html_extraction": op8_html_extraction,
     "op9_jaccard_join": op9_jaccard_join,
