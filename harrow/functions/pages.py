@@ -297,7 +297,10 @@ def cards(page: str | None, heading: str = "h3") -> list[dict]:
             link = n.attrs.get("href") if n.tag == "a" else next((a.attrs["href"] for a in select(n, "a[href]")), None)
             if link is None:
                 n = n.parent
-        rest = squeeze((n or h).text().replace(h.text(), " ", 1))
+        card = n or h
+        if card.tag == "a" and card.parent is not None:
+            card = card.parent
+        rest = squeeze(card.text().replace(h.text(), " ", 1))
         out.append({"line": k, "title": squeeze(h.text()), "href": link, "meta": rest})
     return out
 

@@ -116,7 +116,7 @@ def normal_category(c: Column) -> Column:
 
 
 def normal_company(c: Column) -> Column:
-    return F.lower(clean_text(F.coalesce(c, F.lit(""))))
+    return clean_text(F.coalesce(c, F.lit("")))
 
 
 def display_category(category: Column, season: Column) -> Column:
