@@ -82,12 +82,11 @@ def vectors(stats: DataFrame) -> DataFrame:
     )
 
 
-def _quantile(rows: DataFrame, value: str, share: float, out: str) -> DataFrame:
-    """(grp, out): for each group the smallest value that `share` of its rows reach, from a histogram."""
-    hist = rows.groupBy("grp", F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = W.partitionBy("grp").orderBy("v")
-    hist = hist.withColumn("cum", F.sum("c").over(w)).withColumn("n", F.sum("c").over(W.partitionBy("grp")))
-    return hist.where(F.col("cum") >= F.ceil(F.col("n") * share)).groupBy("grp").agg(F.min("v").alias(out))
+def _quantile(hist: DataFrame, by: list[str], share: float, out: str) -> DataFrame:
+    """(by, out): for each group of a histogram (by, v, c) the smallest value that `share` of its rows reach."""
+    cum = F.sum("c").over(W.partitionBy(*by).orderBy("v"))
+    n = F.sum("c").over(W.partitionBy(*by))
+    return hist.withColumns({"cum": cum, "n": n}).where(F.col("cum") >= F.ceil(F.col("n") * share)).groupBy(*by).agg(F.min("v").alias(out))
 
 
 def _bin(c: Column) -> Column:
@@ -120,20 +119,21 @@ def _factor(cov: DataFrame, x: tuple[str, ...]) -> DataFrame:
 
 def estimates(rows: DataFrame, x: tuple[str, ...] = VECTOR) -> DataFrame:
     """(grp, m_i, l_i_j): location and Cholesky factor of the scatter of each group of (grp, x...)."""
-    est = None
-    for i, name in enumerate(x):
-        med = _quantile(rows, name, 0.5, f"m_{i}")
-        dev = rows.join(med, "grp").withColumn("dev", F.abs(F.col(name) - F.col(f"m_{i}")))
-        mad = _quantile(dev, "dev", 0.5, f"mad_{i}")
-        both = med.join(mad, "grp")
-        est = both if est is None else est.join(both, "grp")
     p = len(x)
+    # medians and median deviations of all dimensions from one histogram
+    long = rows.select("grp", F.posexplode(F.array(*x)).alias("dim", "v"))
+    hist = cut(long.groupBy("grp", "dim", "v").agg(F.count("*").alias("c")))
+    med = cut(_quantile(hist, ["grp", "dim"], 0.5, "med"))
+    dev = hist.join(med, ["grp", "dim"]).groupBy("grp", "dim", F.abs(F.col("v") - F.col("med")).alias("v")).agg(F.sum("c").alias("c"))
+    both = med.join(_quantile(dev, ["grp", "dim"], 0.5, "mad"), ["grp", "dim"])
+    wide = [F.max(F.when(F.col("dim") == i, F.col(c))).alias(f"{k}_{i}") for i in range(p) for c, k in (("med", "m"), ("mad", "mad"))]
+    est = both.groupBy("grp").agg(*wide)
     start = est.withColumns({f"s_{i}_{j}": (F.pow(F.col(f"mad_{i}") * 1.4826, 2) if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)})
     est = cut(_factor(start, x))
     for _ in range(STEPS):
         near = _whitened(_with_groups(rows, est, ["grp"]), x).select("grp", *x, _bin(F.col("d2")).alias("b"))
-        limit = _quantile(near, "b", COVERAGE, "limit")
-        held = near.join(limit, "grp").where(F.col("b") <= F.col("limit"))
+        limit = cut(_quantile(near.groupBy("grp", F.col("b").alias("v")).agg(F.count("*").alias("c")), ["grp"], COVERAGE, "limit"))
+        held = _with_groups(near, limit, ["grp"]).where(F.col("b") <= F.col("limit"))
         sums = held.groupBy("grp").agg(
             F.count("*").alias("n"),
             *(F.sum(c).alias(f"t_{i}") for i, c in enumerate(x)),
@@ -164,7 +164,7 @@ def _fitted(stats: DataFrame) -> DataFrame:
     named = cut(sizes.join(small, "__lang", "left").select("__lang", "__source", F.when(F.col("n") >= LEAST_ROWS, F.to_json(F.array("__lang", "__source"))).otherwise(by_lang).alias("grp")))
     rows = _with_groups(passed, named, ["__lang", "__source"]).select("grp", *VECTOR)
     enough = rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("grp")
-    return cut(named.join(estimates(rows.join(enough, "grp", "left_semi")), "grp").drop("grp"))
+    return cut(named.join(estimates(cut(rows.join(enough, "grp", "left_semi"))), "grp").drop("grp"))
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
