@@ -89,6 +89,12 @@ def might_hold(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return marked.where(may).select(*df.columns)
 
 
+def parted(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """might_hold(), and the rows that surely aren't among wanted's."""
+    marked, may = _marked(df, key, wanted)
+    return marked.where(may).select(*df.columns), marked.where(~may).select(*df.columns)
+
+
 def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """Rows of df whose key isn't among gone's single column; null keys stay. Only rows that the bitmap can't clear are shuffled."""
     marked, may = _marked(df, key, gone)

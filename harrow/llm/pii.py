@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import cut
+from harrow.llm.common import cut, parted
 
 # Titles by gender, letters, syllables.
 TITLES = {
-    "m": "Mr Mister Herr Señor Sr Don Monsieur господин".split(),
-    "f": "Mrs Ms Miss Frau Señora Sra Srta Doña Madame Mme Mademoiselle Mlle госпожа".split(),
+    "m": "Mr Mister Herr Señor Sr Don Monsieur господин Господин".split(),
+    "f": "Mrs Ms Miss Frau Señora Sra Srta Doña Madame Mme Mademoiselle Mlle госпожа Госпожа".split(),
     "n": "Dr Prof Professor".split(),
 }
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
@@ -37,24 +37,34 @@ ENDINGS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+_END = r"(?![\p{L}\p{N}])"
+#: Each begins where no letter or digit stands before.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+",
-    "secret": r"(?<![\p{L}\p{N}_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abps]-[A-Za-z0-9-]{10,})(?![\p{L}\p{N}_])",
-    "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d){_END}",
+    "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}(?!-){_END}",
+    "card": rf"\d(?:[ -]?\d){{12,18}}{_END}",
+    "phone": rf"(?:\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?\d{{2,4}}){{2,4}}|\(\d{{2,4}}\) ?\d{{3,4}}[ .-]\d{{3,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}){_END}",
+    "secret": rf"(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}|sk-[A-Za-z0-9_-]{{20,}}|xox[abps]-[A-Za-z0-9-]{{10,}})(?!_){_END}",
+    "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "name": rf"(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "email": r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: One pattern: what a token begins with says which kinds it may be, so that most tokens are tried for few.
+PATTERN = (
+    r"(?<![\p{L}\p{N}_.%+-])(?:"
+    + rf"(?=[\d+(])(?:{'|'.join(PATTERNS[k] for k in ('ip', 'ssn', 'card', 'phone'))})"
+    + rf"|(?=[0-9a-fA-Fgsx])(?:{PATTERNS['secret']})"
+    + rf"|(?=[A-Z][A-Z])(?:{PATTERNS['iban']})"
+    + rf"|(?=[\p{{Lu}}г])(?:{PATTERNS['name']})"
+    + rf"|{PATTERNS['email']})"
+)
 #: Draws that an entity may need at most. Names have about 40**2 and more forms, all others far more.
 DRAWS = 64
 
 
 def _kind(m: Column) -> Column:
     out = F.lit("name")
-    for k in reversed([k for k in PATTERNS if k != "name"]):
+    for k in ("email", "iban", "secret", "phone", "card", "ssn", "ip"):
         out = F.when(m.rlike(rf"\A(?:{PATTERNS[k]})\z"), F.lit(k)).otherwise(out)
     return out
 
@@ -147,9 +157,8 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """
     docs = docs.drop("n_entities")
     text = F.col(text_col)
-    has = text.rlike(PATTERN)
-    sha = F.sha2(text, 256)
-    found = docs.where(has).select(sha.alias("__sha"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("ms"))
+    keyed = docs.withColumn("__sha", F.sha2(text, 256))
+    found = keyed.select("__sha", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("ms")).where(F.size("ms") > 0)
     found = cut(found.dropDuplicates(["__sha"]))
     parts = cut(_parts(found.select(F.explode("ms").alias("m")).distinct()))
     new = _replacements(parts.select("kind", "norm").distinct(), key)
@@ -158,10 +167,11 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     told = told.groupBy("m").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]), " ").alias("r"))
     told = cut(told.select("m", F.when(_kind(F.col("m")) == "name", F.concat(title, "r")).otherwise(F.col("r")).alias("r")))
     each = found.select("__sha", F.posexplode("ms").alias("i", "m")).join(told, "m")
-    lists = each.groupBy("__sha").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("__r"))
-    left = docs.where(has).withColumn("__sha", sha).join(lists, "__sha")
+    lists = cut(each.groupBy("__sha").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("__r")))
+    may, clean = parted(keyed, "__sha", found.select("__sha"))
+    left = may.join(lists, "__sha", "left")
     pieces = F.split(text, PATTERN)
     whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("__r", i), F.lit("")))), "")
-    left = left.withColumn("n_entities", F.size("__r").cast("long")).withColumn(text_col, whole)
-    clean = docs.where(~F.coalesce(has, F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
-    return clean.unionByName(left.select(*clean.columns))
+    left = left.withColumn("n_entities", F.coalesce(F.size("__r"), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col("__r").isNotNull(), whole).otherwise(text))
+    columns = [*docs.columns, "n_entities"]
+    return clean.withColumn("n_entities", F.lit(0).cast("long")).select(*columns).unionByName(left.select(*columns))
