@@ -118,8 +118,8 @@ class Model:
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The best labels of the words: the sum of their scores less `penalty` for each switch is largest; ties stay.
 
-    A stretch of words that gain `penalty` or less in every other language than the one with the best sum stays in that, as
-    each language on the way costs a switch. So the recursion is run only from where no language has gained anything,
+    A stretch of words that gain `penalty` or less (half of it at the start or end) in every other language than the one with
+    the best sum stays in that, as each language on the way costs a switch. So the recursion is run only from where no language has gained anything,
     before a stretch that gains more, until the best language again leads all others by a switch.
     """
     n, k = scores.shape
@@ -130,7 +130,9 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     total = np.zeros((n + 1, k))
     np.cumsum(scores - scores[:, best : best + 1], axis=0, out=total[1:])
     gain = total - np.minimum.accumulate(total, axis=0)
-    pays = np.flatnonzero((gain > penalty).any(axis=1))
+    may = (gain > penalty).any(axis=1) | (total > penalty / 2).any(axis=1)
+    may[n] |= (gain[n] > penalty / 2).any()  # a path of other languages from start to end has one switch fewer than languages
+    pays = np.flatnonzero(may)
     behind = (gain == 0) & (total <= -penalty)  # by all that a switch costs; a path may start in any language for nothing
     behind[0] = behind[:, best] = True
     level = np.flatnonzero(behind.all(axis=1))
