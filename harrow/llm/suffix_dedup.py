@@ -35,7 +35,9 @@ ANCHOR = LENGTH - STEP + 1
 BEFORE, AFTER = STEP - 1, LENGTH
 WIDTH = BEFORE + AFTER
 #: Anchors that a task gathers before it sends them.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
+#: Ranges of anchors that a task sorts one after the other.
+RANGES = 8
 KEY = 16
 
 
@@ -98,6 +100,11 @@ def _from6(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _low(h48: np.ndarray) -> np.ndarray:
+    """What an answer says of an anchor's hash: enough among those of one text, where a mistake only means a needless look."""
+    return (h48 & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
 def _range(h48: np.ndarray, n: int) -> np.ndarray:
     return ((h48 >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
@@ -130,7 +137,7 @@ def _listing(docs: DataFrame, n: int) -> DataFrame:
 
         def put(p: int, known: bool, d: np.ndarray, x: np.ndarray) -> None:
             x, which, count = _by_doc(d, x)
-            out.append((p, known, b"".join([keys[k] for k in which]), count.astype("<i4").tobytes(), _to6(x)))
+            out.append((p, known, b"".join([keys[k] for k in which]), count.astype("<i4").tobytes(), _low(x).tobytes() if known else _to6(x)))
 
         part = _range(h, n)  # grows with h
         cuts = np.searchsorted(part, np.arange(n + 1))
@@ -179,10 +186,11 @@ def _shared(listing: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 keys = [r["digests"][i : i + KEY] for i in range(0, len(r["digests"]), KEY)]
-                count, x = np.frombuffer(r["counts"], "<i4"), _from6(r["hashes"])
+                count = np.frombuffer(r["counts"], "<i4")
                 if r["known"]:
-                    yield answers(keys, np.repeat(np.arange(len(keys)), count), x)
+                    yield answers(keys, np.repeat(np.arange(len(keys)), count), np.frombuffer(r["hashes"], "<u4"))
                 else:
+                    x = _from6(r["hashes"])
                     own = np.array([names.setdefault(k, len(names)) for k in keys], np.int32)
                     doc.append(np.repeat(own, count))
                     h.append(x)
@@ -194,12 +202,12 @@ def _shared(listing: DataFrame, n: int) -> DataFrame:
             end = np.append(begin[1:], len(x)) - 1
             many = np.repeat(d[begin] != d[end], end - begin + 1)
             if many.any():
-                yield answers(list(names), d[many], x[many])
+                yield answers(list(names), d[many], _low(x[many]))
 
     def answers(keys: list[bytes], doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         h, which, count = _by_doc(doc, h)
         cuts = np.concatenate([[0], np.cumsum(count)])
-        return pa.RecordBatch.from_arrays([pa.array([keys[k].hex() for k in which]), pa.array([_to6(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["digest", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array([keys[k].hex() for k in which]), pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["digest", "hashes"])
 
     return listing.repartition(n, "p").mapInArrow(run, "digest string, hashes binary")
 
@@ -227,21 +235,28 @@ def _suffixes(held: DataFrame, n: int) -> DataFrame:
         out = []
         cuts = np.searchsorted(_range(h, n), np.arange(n + 1))
         zip_ = zstandard.ZstdCompressor(level=1)
+        if answered.any():
+            row, o = _bits(windows[answered])
+            of, run = _runs(doc[answered][row], place[answered][row] - o)
+            which, count = np.unique(of, return_counts=True)
+            out.append((int(h[0] % np.uint64(n)), True, b"".join(keys[k] for k in which), b"", count.astype("<i4").tobytes(), run.tobytes(), b"", b""))
         for p in range(n):
-            s = np.arange(cuts[p], cuts[p + 1])
-            for known, pick in ((False, s[~answered[s]]), (True, s[answered[s]])):
-                if len(pick):
-                    which, local = np.unique(doc[pick], return_inverse=True)
-                    body = b"" if known else zip_.compress(around[pick].tobytes())
-                    out.append((p, known, b"".join(keys[k] for k in which), rep[which].tobytes(), local.astype("<i4").tobytes(), place[pick].tobytes(), windows[pick].astype("<u4").tobytes(), body))
+            pick = np.arange(cuts[p], cuts[p + 1])
+            pick = pick[~answered[pick]]
+            if len(pick):
+                which, local = np.unique(doc[pick], return_inverse=True)
+                body = zip_.compress(around[pick].tobytes())
+                out.append((p, False, b"".join(keys[k] for k in which), rep[which].tobytes(), local.astype("<i4").tobytes(), place[pick].astype("<u4").tobytes(), windows[pick].astype("<u4").tobytes(), body))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SUFFIXES.types, strict=True)], schema=_SUFFIXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         keys, reps, parts, size = [], [], [], 0
-        for batch in batches:
+        unzip = zstandard.ZstdDecompressor()
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             digest, rep, lists = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            for lo, _, buf, offs in chunks(batch.column(2), 1 << 20):
+            texts = pa.array([unzip.decompress(x) for x in batch.column(2).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            for lo, _, buf, offs in chunks(texts, 1 << 20):
                 at, h, a, inside = anchors(buf, offs)
                 if not len(at):
                     continue
@@ -255,8 +270,8 @@ def _suffixes(held: DataFrame, n: int) -> DataFrame:
                         continue
                     seen.add(digest[lo + i])
                     s = slice(bounds[i], bounds[i + 1])
-                    wanted = _from6(b"".join(lists[lo + i]))
-                    mine = np.isin(h[s], wanted)
+                    wanted = np.frombuffer(b"".join(lists[lo + i]), "<u4")
+                    mine = np.isin(_low(h[s]), wanted)
                     x, hx = at[s][mine], h[s][mine]
                     if not len(x):
                         continue
@@ -273,7 +288,7 @@ def _suffixes(held: DataFrame, n: int) -> DataFrame:
                     reps.append(rep[lo + i])
                     parts.append((np.full(len(x), len(keys) - 1, np.int32), x - offs[i], hx, windows, around))
                     size += len(x)
-                if size > FLUSH // 10:
+                if size > FLUSH // 6:
                     yield rows(keys, reps, parts)
                     keys, reps, parts, size = [], [], [], 0
         if size:
@@ -307,30 +322,50 @@ def refine(code: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
     return bucket
 
 
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of consecutive starts of each document: the document, and start * 256 + length."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(doc)) - 1
+    length = start[last] - start[at] + 1
+    more = -(-length // 255)  # longer runs are several
+    part = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    head, left = np.repeat(start[at], more) + 255 * part, np.repeat(length, more) - 255 * part
+    return np.repeat(doc[at], more), (head.astype(np.int64) << 8) | np.minimum(left, 255)
+
+
 def _marks(suffixes: DataFrame, n: int) -> DataFrame:
     """(digest, starts): where in a text strings of LENGTH bytes begin that a document with a smaller id holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[bytes, int] = {}
-        reps: list[int] = []
-        parts: list[tuple] = []
+        held: dict[int, list[dict]] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 keys = [r["digests"][i : i + KEY] for i in range(0, len(r["digests"]), KEY)]
-                local, place, windows = np.frombuffer(r["doc"], "<i4"), np.frombuffer(r["place"], np.int64), np.frombuffer(r["windows"], "<u4")
                 if r["known"]:
-                    row, o = _bits(windows)
-                    yield answers(keys, local[row], place[row] - o)
-                    continue
-                for k, rep in zip(keys, np.frombuffer(r["reps"], np.int64).tolist(), strict=True):
-                    if k not in names:
-                        names[k] = len(names)
-                        reps.append(rep)
-                own = np.array([names[k] for k in keys], np.int32)
-                around = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["around"]), np.uint8)
-                parts.append((own[local], place, windows, around))
-        if not parts:
-            return
+                    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(r["doc"], "<i4"))])
+                    runs = np.frombuffer(r["place"], np.int64)
+                    yield answers(keys, [runs[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                else:
+                    held.setdefault(r["p"], []).append(r | {"keys": keys})
+        for p in sorted(held):  # a range at a time; the others wait compressed
+            yield from sort(held.pop(p))
+
+    def sort(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        names: dict[bytes, int] = {}
+        reps: list[int] = []
+        parts: list[tuple] = []
+        for r in rows:
+            for k, rep in zip(r["keys"], np.frombuffer(r["reps"], np.int64).tolist(), strict=True):
+                if k not in names:
+                    names[k] = len(names)
+                    reps.append(rep)
+            own = np.array([names[k] for k in r["keys"]], np.int32)
+            around = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["around"]), np.uint8)
+            parts.append((own[np.frombuffer(r["doc"], "<i4")], np.frombuffer(r["place"], "<u4").astype(np.int64), np.frombuffer(r["windows"], "<u4"), around))
         doc, place, windows, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         row, o = _bits(windows)
@@ -345,12 +380,13 @@ def _marks(suffixes: DataFrame, n: int) -> DataFrame:
         lead = np.maximum.accumulate(np.where(first, np.arange(len(bucket)), 0))
         gone = rep > rep[lead]
         if gone.any():
-            yield answers(list(names), doc[row[gone]], place[row[gone]] - o[gone])
+            of, runs = _runs(doc[row[gone]], place[row[gone]] - o[gone])
+            which, at = np.unique(of, return_index=True)
+            keys = list(names)
+            yield answers([keys[k] for k in which], np.split(runs, at[1:]))
 
-    def answers(keys: list[bytes], doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        start, which, count = _by_doc(doc, start)
-        cuts = np.concatenate([[0], np.cumsum(count)])
-        return pa.RecordBatch.from_arrays([pa.array([keys[k].hex() for k in which]), pa.array([start[a:b].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["digest", "starts"])
+    def answers(keys: list[bytes], runs: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k.hex() for k in keys], pa.string()), pa.array([x.tobytes() for x in runs], pa.binary())], names=["digest", "starts"])
 
     return suffixes.repartition(n, "p").mapInArrow(run, "digest string, starts binary")
 
@@ -359,17 +395,26 @@ def _bits(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((windows[:, None] >> np.arange(STEP, dtype=np.uint32)) & 1)
 
 
-def cover(text: bytes, starts: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of the text, and the maximal runs (start, end) that strings from `starts` on cover."""
+def cover(text: bytes, runs: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of the text, and the maximal runs (start, end) that strings cover whose starts are in `runs`, see _runs()."""
+    start, length = runs >> 8, runs & 255
     edge = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + LENGTH, -1)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + length - 1 + LENGTH, -1)
     gone = np.cumsum(edge[:-1]) > 0
     flip = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
     spans = list(zip(flip[::2].tolist(), flip[1::2].tolist(), strict=True))
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), spans
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    zip_ = zstandard.ZstdCompressor(level=3)
+    for whole in batches:
+        for k in range(0, whole.num_rows, 500):
+            b = whole.slice(k, 500)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zip_.compress(x.encode()) for x in b.column(2).to_pylist()], pa.binary())], names=["id", "digest", "text"])
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and spans: array of (start, end), in bytes.
 
@@ -387,25 +432,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = cut(reps)
     answers = _shared(_listing(long_rows.select("text"), n), n)
     shared = cut(answers.groupBy("digest").agg(F.collect_list("hashes").alias("hashes")).join(reps, "digest"))
-    held = might_hold(long_rows.select("id", "digest", "text"), "digest", shared.select("digest"))
-    held = held.join(shared, "digest").where("id = rep").select("digest", "rep", "text", "hashes")
-    marks = cut(_marks(_suffixes(held, n), n).groupBy("digest").agg(F.collect_list("starts").alias("starts")))
+    # texts travel compressed, and once: both joins below read one exchange
+    texts = might_hold(long_rows.select("id", "digest", "text"), "digest", shared.select("digest")).mapInArrow(_packed, "id long, digest string, text binary")
+    held = texts.join(shared, "digest").where("id = rep").select("digest", "rep", "text", "hashes")
+    marks = _marks(_suffixes(held, n * RANGES), n).groupBy("digest").agg(F.collect_list("starts").alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for digest, text, starts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if digest in seen:
                     continue
                 seen.add(digest)
-                left, spans = cover(text.encode(), np.frombuffer(b"".join(starts), "<i8"))
+                left, spans = cover(unzip.decompress(text), np.frombuffer(b"".join(starts), "<i8"))
                 out.append((digest, sum(e - s for s, e in spans), hashlib.sha256(left).hexdigest(), [{"start": s, "end": e} for s, e in spans]))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), kind))], names=["digest", "n_removed", "kept", "spans"])
 
-    touched = might_hold(long_rows.select("id", "digest", "text"), "digest", marks.select("digest")).join(marks, "digest")
-    touched = touched.join(reps.withColumnRenamed("rep", "id"), ["digest", "id"]).select("digest", "text", "starts")
+    touched = texts.join(marks, "digest").join(reps, "digest").where("id = rep").select("digest", "text", "starts")
     changed = touched.mapInArrow(run, "digest string, n_removed long, kept string, spans array<struct<start:long,end:long>>").dropDuplicates(["digest"])
     out = own.join(reps, "digest", "left").join(changed, "digest", "left")
     copy = F.col("id") > F.col("rep")
@@ -425,12 +471,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, whose texts have lost the repeats; bytes that are no whole character after a cut are dropped.
 
-    Rows that share an id are told apart by their text's digest; null texts stay null.
+    Ids must be unique here; null texts stay null.
     """
     found = repeats(docs, id_col, text_col).where("n_removed > 0").select(F.col(id_col).alias("__id"), "spans").distinct()
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = docs.columns.index(text_col)
         for batch in batches:
             texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             out = []
@@ -442,7 +488,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         last = x["end"]
                     t = b"".join([*parts, b[last:]]).decode(errors="ignore")
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) if i != at else pa.array(out, pa.string()) for i in range(batch.num_columns - 1))], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) if i != at else pa.array(out, pa.string()) for i in range(batch.num_columns - 1))], names=names)
 
     both = docs.join(found, docs[id_col] == F.col("__id"), "left").drop("__id")
     return both.mapInArrow(run, docs.schema)
