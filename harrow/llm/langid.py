@@ -21,7 +21,7 @@ from harrow.llm import textvec
 from harrow.llm.common import chunks
 
 #: Hash buckets of n-grams, and the n-grams' lengths in bytes.
-BUCKETS, LENGTHS = 1 << 15, (2, 3, 4)
+BUCKETS, LENGTHS = 1 << 15, (3,)
 #: Log probability that a switch of language costs.
 PENALTY = 12.0
 
