@@ -202,4 +202,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     side = [F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text")]
     fitted = _fitted(cut(_measured(docs.select(*side)).select("__lang", "__source", "base_failed", *VECTOR)))
     rows = _measured(docs.select(F.struct(*docs.columns).alias("__row"), *side))
+    # a generator of one row keeps the filter from being pushed below it, which would measure a text anew for every use of a statistic
+    names = ", ".join(["base_failed", *VECTOR])
+    rows = rows.select("__row", "__lang", "__source", F.expr(f"stack(1, {names}) as ({names})"))
     return _whitened(_with_groups(rows, fitted, ["__lang", "__source"]), VECTOR).where(_verdict()).select("__row.*")

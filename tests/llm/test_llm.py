@@ -398,3 +398,30 @@ def test_words_by_bytes():
     assert first.tolist() == [0, 4, 4, 8]
     h = textvec.span_hashes(buf, s, e)
     assert (h[:4] == h[4:]).all() and len(set(h[:4].tolist())) == 4
+
+
+# pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    item = rng_text(77, 12, 5000)
+    good = [rng_text(700 + k, 90, 5000) for k in range(60)]
+    texts = [
+        *good, good[0] + " tail", good[1], f"{rng_text(900, 80, 5000)} {item}", f"{rng_text(901, 80, 5000)} ann.bee@mail3.example.com {rng_text(902, 20, 5000)}",
+        "short one", None, " ".join(f"{x}###" for x in rng_text(903, 80, 5000).split()), "again and again " * 60,
+    ]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = [{*range(60), 60, 61, 62, 63}, {*range(60), 62, 63}, {*range(60), 63}, {*range(60), 63}]
+    for (_, stage), want in zip(corpus_pipeline.STAGES, left, strict=False):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == list(corpus_pipeline.COLUMNS) and {r.doc_id for r in docs.select("doc_id").collect()} == want
+    replaced = docs.where("doc_id = 63").first()
+    assert "ann.bee" not in replaced.text and replaced.n_chars == len(replaced.text)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    encoder = bpe.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert packed.groupby("doc_id").length.sum().to_dict() == {i: len(encoder.batch([t])[0]) + 1 for i, t in kept.items()}
