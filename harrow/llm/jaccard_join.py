@@ -146,7 +146,10 @@ def signature_rows(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """(a, b): the smallest document of each signature's bucket with each other one in it."""
+    """(a, b): of what the signatures in each task's buckets connect, the smallest document with each other one.
+
+    That is a row per document and task at most, however many signatures it shares there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -160,12 +163,19 @@ def stars(rows: DataFrame) -> DataFrame:
         first[1:] = sig[1:] != sig[:-1]
         hub = doc[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
         other = doc != hub
-        a, b = hub[other], doc[other]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        once = np.ones(len(a), bool)
-        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], names=["a", "b"])
+        ids, ends = np.unique(np.stack([hub[other], doc[other]]), return_inverse=True)
+        x, y = ends.reshape(2, -1)
+        label = np.arange(len(ids))
+        while True:
+            before = label.copy()
+            low = np.minimum(label[x], label[y])
+            np.minimum.at(label, x, low)
+            np.minimum.at(label, y, low)
+            label = label[label]
+            if (label == before).all():
+                break
+        b = np.flatnonzero(label != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[label[b]]), pa.array(ids[b])], names=["a", "b"])
 
     return rows.repartition(partitions(rows.sparkSession), "sig").mapInArrow(run, "a long, b long").distinct()
 
