@@ -5,8 +5,9 @@ Jaccard similarity t or more lie in one band or in neighbouring ones, and differ
 from the band (the union is at most the smaller size / t, so the difference is at most size * (1 - t) / t). The domain of
 hashes is cut into n1 * n2 ranges. By the pigeonhole principle one of the n1 groups of ranges holds at most K2 of the
 differences, and hence n2 - K2 of its ranges hold none: the enumerated subset of these ranges is a signature that both
-sets share. Subsets in which a set has no element say nothing; a set with such a subset is partitioned again under another
-seed, and only the last seed keeps signatures of empty subsets, so no pair is lost.
+sets share. Subsets in which a set has no element say nothing. With s groups more than needed, similar sets share s + 1 subsets, of
+which a set with empty subsets in s groups or fewer has a full one. A set with more is partitioned again under another seed,
+and only the last seed keeps signatures of empty subsets, so no pair is lost.
 
 Equal sets are one class from the start. Within a signature's bucket, each class is compared with the smallest one only. Families
 (what shared signatures connect) whose members are then still in several components go on with these, see _rest, so
@@ -30,6 +31,8 @@ from harrow.llm.components import components
 #: Differences that a group of ranges may hold, and ranges of a group.
 K2, N2 = 1, 3
 SEEDS = 3
+#: One group in so many is more than the pigeonhole principle needs, so similar sets share one subset more for each.
+SLACK = 16
 #: Members of a slice of a family that one task compares with each other.
 BLOCK = 4096
 
@@ -84,6 +87,8 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             if k == 0:
                 continue  # equal sets only
             n1 = -(-(k + 1) // (K2 + 1))
+            slack = n1 // SLACK
+            n1 += slack
             units = n1 * N2
             cuts = (np.arange(1, units, dtype=np.float64) * (2.0**64 / units)).astype(np.uint64)
             at = np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
@@ -95,7 +100,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             tag = np.arange(units, dtype=np.uint64).reshape(n1, N2) + np.uint64(b << 32) + np.uint64(k_seed << 56)
             sig = textvec.mix(textvec.mix(subset) + tag * textvec.R)
             if k_seed < SEEDS - 1:
-                empty |= not full.all()
+                empty |= int((~full).any(axis=1).sum()) > slack
                 sig = sig[full]
             out.append(sig.ravel())
         if not empty:
