@@ -49,14 +49,15 @@ PATTERNS = {
     "name": rf"(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}",
     "email": r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+",
 }
-#: One pattern: what a token begins with says which kinds it may be, so that most tokens are tried for few.
+#: One pattern: what a token begins with says which kinds it may be, so that most tokens are tried for few. What else must not stand
+#: before it is up to the kind: a dot before an IP, a hyphen before a social security number, _ before a secret, and all that mail addresses are made of before one.
 PATTERN = (
-    r"(?<![\p{L}\p{N}_.%+-])(?:"
-    + rf"(?=[\d+(])(?:{'|'.join(PATTERNS[k] for k in ('ip', 'ssn', 'card', 'phone'))})"
-    + rf"|(?=[0-9a-fA-Fgsx])(?:{PATTERNS['secret']})"
+    r"(?<![\p{L}\p{N}])(?:"
+    + rf"(?=[\d+(])(?:(?<!\.){PATTERNS['ip']}|(?<!-){PATTERNS['ssn']}|{PATTERNS['card']}|{PATTERNS['phone']})"
+    + rf"|(?=[0-9a-fA-Fgsx])(?<!_)(?:{PATTERNS['secret']})"
     + rf"|(?=[A-Z][A-Z])(?:{PATTERNS['iban']})"
     + rf"|(?=[\p{{Lu}}г])(?:{PATTERNS['name']})"
-    + rf"|{PATTERNS['email']})"
+    + rf"|(?<![._%+-]){PATTERNS['email']})"
 )
 #: Draws that an entity may need at most. Names have about 40**2 and more forms, all others far more.
 DRAWS = 64

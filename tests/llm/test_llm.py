@@ -63,6 +63,17 @@ def test_pii_distinct(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_after_punctuation(spark):
+    sha = "f32ab9ba2834a0d390df92664b1272635dbc0e11"
+    kinds = {"741-555-3069": "._-%+", "4111111111111111": "._-%+", "DE89370400440532013000": "._-%+", "Mr Smith": "._-%+", sha: ".-%+", "10.1.2.3": "_-%+", "123-45-6789": "._%+"}
+    texts = [f"see x{c}{e} here" for e, marks in kinds.items() for c in marks]
+    got = pii.surrogates(frame(spark, texts), "k").collect()
+    assert len(got) == len(texts) and all(r.n_entities == 1 and r.text.startswith(texts[r.doc_id][:6]) and r.text.endswith(" here") for r in got)
+    assert not [r.text for r in got for e in kinds if e in r.text]
+    kept = [f"see x_{sha} here", "see x.10.1.2.3 here", "see x-123-45-6789 here"]
+    assert [r.text for r in pii.surrogates(frame(spark, kept), "k").orderBy("doc_id").collect()] == kept
+
+
 # suffix array
 
 
