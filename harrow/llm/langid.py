@@ -1,11 +1,12 @@
 """Language identification of mixed-language text.
 
 The scripts of a text's letters (code point ranges) narrow the languages that come into question. Each word then has a score
-in each of them, the log probability of its character n-grams as counted in labelled texts, and a Viterbi pass over the words, with
+in each of them, the log probability of its character n-grams as counted in labelled texts (characters, not bytes, so that a letter pair is one in
+each script), and a Viterbi pass over the words, with
 a penalty for each switch, labels spans. The language with most letters is the text's.
 
 A pass is only run where a switch can pay: without one the best path stays in the language with the best sum, which a test by
-cumulative sums proves for most texts.
+cumulative sums proves for most texts. The n-grams of a word that comes again in a chunk of texts are taken once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from harrow.llm import textvec
 from harrow.llm.common import chunks
 
-#: Hash buckets of n-grams, and the n-grams' lengths in bytes.
-BUCKETS, LENGTHS = 1 << 15, (3,)
+#: Hash buckets of n-grams, and the n-grams' lengths in characters.
+BUCKETS, LENGTHS = 1 << 15, (2, 3, 4)
 #: Log probability that a switch of language costs.
 PENALTY = 12.0
 
@@ -69,30 +71,50 @@ _NOT_LETTER = np.isin(np.arange(256), [*range(0x41), *range(0x5B, 0x61), *range(
 _WORD = ~_NOT_LETTER
 
 
-def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (starts, ends, first of each document), and the n-grams' buckets with the word of each."""
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (starts, ends, first of each document), and a hash of each word that leaves out ASCII case."""
     starts, ends, first = textvec.word_spans(buf, offs, _WORD)
-    low = np.concatenate([textvec.LOWER[buf], np.zeros(4, np.uint8)]).astype(np.uint64)
+    return starts, ends, first, textvec.span_hashes(buf, starts, ends, lower=True)
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one word of each hash, and which of them each word is."""
+    of, seen = pd.factorize(h)
+    at = np.zeros(len(seen), np.int64)
+    at[of] = np.arange(len(h))
+    return at, of
+
+
+def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words' n-grams with the word of each."""
     n = ends - starts
     # each word is read with a blank before and after it
     at = np.repeat(starts - 1, n + 2) + np.arange((n + 2).sum()) - np.repeat(np.cumsum(n + 2) - (n + 2), n + 2)
     word = np.repeat(np.arange(len(n)), n + 2)
-    ch = low[np.maximum(at, 0)]
+    b = np.append(textvec.LOWER[buf], np.uint8(32))[np.maximum(at, 0)].astype(np.uint64)
     edge = np.cumsum(n + 2)
-    ch[edge - 1] = 32
-    ch[edge - n - 2] = 32
+    b[edge - 1] = 32
+    b[edge - n - 2] = 32
+    # a character is its bytes as one number
+    more = np.append((b & np.uint64(0xC0)) == 0x80, [False] * 3)
+    lead = np.flatnonzero(~more[: len(b)])
+    ch, inside, b = b[lead], np.ones(len(lead), bool), np.append(b, np.zeros(3, np.uint64))
+    for i in (1, 2, 3):
+        inside &= more[lead + i]
+        ch = np.where(inside, ch << np.uint64(8) | b[lead + i], ch)
+    word = word[lead]
     grams, of = [], []
     for k in LENGTHS:
         if len(ch) < k:
             continue
         code = np.full(len(ch) - k + 1, k, np.uint64)
         for i in range(k):
-            code = code << np.uint64(8) | ch[i : len(ch) - k + 1 + i]
+            code = code * textvec.R + ch[i : len(ch) - k + 1 + i]
         ok = word[: len(code)] == word[k - 1 :]
         grams.append((textvec.mix(code[ok]) % np.uint64(BUCKETS)).astype(np.int64))
         of.append(word[: len(code)][ok])
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return starts, ends, first, cat(grams), cat(of)
+    return cat(grams), cat(of)
 
 
 class Model:
@@ -108,11 +130,13 @@ class Model:
         self.writes = s >= 0.02 * np.maximum(s.sum(axis=1, keepdims=True), 1)
 
     def word_scores(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        starts, ends, first, gram, of = _grams(buf, offs)
-        out = np.zeros((len(starts), len(self.langs)))
+        starts, ends, first, h = _words(buf, offs)
+        at, kind = _distinct(h)
+        gram, of = _grams(buf, starts[at], ends[at])
+        out = np.zeros((len(at), len(self.langs)))
         for k in range(len(self.langs)):
-            out[:, k] = np.bincount(of, self.log[gram, k], len(starts))
-        return starts, ends, first, out
+            out[:, k] = np.bincount(of, self.log[gram, k], len(at))
+        return starts, ends, first, out[kind]
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -176,13 +200,16 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for lo, hi, buf, offs in chunks(batch.column(1), 1 << 20):
-                _, _, first, gram, of = _grams(buf, offs)
-                at, script = _letters(buf)
+                starts, ends, first, h = _words(buf, offs)
                 names = sorted({*langs[lo:hi]})
                 of_doc = np.array([names.index(x) for x in langs[lo:hi]])
                 size = BUCKETS + len(_NAMES) + 1
                 word_lang = np.repeat(of_doc, np.diff(first))
-                c = np.bincount(word_lang[of] * size + gram, minlength=size * len(names))
+                one, kind = _distinct(h + textvec.mix(word_lang.astype(np.uint64) + textvec.R))  # words of a language
+                gram, of = _grams(buf, starts[one], ends[one])
+                times = np.bincount(kind, minlength=len(one))
+                c = np.bincount(word_lang[one][of] * size + gram, times[of], size * len(names)).astype(np.int64)
+                at, script = _letters(buf)
                 doc = np.searchsorted(offs, at, side="right") - 1
                 c += np.bincount(of_doc[doc] * size + BUCKETS + script, minlength=size * len(names))
                 for k, name in enumerate(names):

@@ -291,6 +291,25 @@ def test_langid(spark):
     assert langid.identify(test, langid.train(docs.limit(0))).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_langid_by_letter_pairs(spark):
+    """Two languages of one script, of three bytes a letter, whose words have the same letters in another order."""
+    r = np.random.default_rng(3)
+    inner = [["ბგ", "დვ", "ზთ", "კლ"], ["გბ", "ვდ", "თზ", "ლკ"]]
+    texts = [" ".join("ა" + "".join(inner[k][j] for j in r.permutation(4)) + "ა" for _ in range(60)) for k in (0, 1) * 20]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2], "s", 1) for i, t in enumerate(texts)], DOCS)
+    m = langid.train(docs.where("doc_id < 30"))
+    got = langid.identify(docs.where("doc_id >= 30").withColumn("text", F.substring_index("text", " ", 2)), m).collect()
+    assert len(got) == 10 and all(x.lang_pred == "ab"[x.doc_id % 2] and x.score > 0.9 and len(x.spans) == 1 for x in got)
+
+
+def test_grams_are_of_characters():
+    buf = np.frombuffer("ab Ж 日本 ab".encode(), np.uint8)
+    starts, ends, first, h = langid._words(buf, np.array([0, len(buf)]))
+    at, kind = langid._distinct(h)
+    _, of = langid._grams(buf, starts[at], ends[at])
+    assert np.bincount(of).tolist() == [6, 3, 6] and kind.tolist() == [0, 1, 2, 0]
+
+
 # pages
 
 
