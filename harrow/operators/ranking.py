@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,9 +25,28 @@ def ditto(value: Column, group: list[str], order: list[Column], mark: str = "↳
     return F.when(before.eqNullSafe(value) & value.isNotNull(), mark).otherwise(value)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A checkpoint in spark.checkpoint.dir; in a temporary folder only where that is unset and Spark is local."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="harrow-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def assign_ids(df: DataFrame, start: int, order: list[Column], ident: str = "id") -> DataFrame:
-    """Consecutive ids from start + 1 in order. For a batch of new rows: numbering is one task's work."""
-    return df.withColumn(ident, F.row_number().over(W.orderBy(*order)).cast("long") + int(start))
+    """Consecutive ids from start + 1 in order. Rows are dealt by ranges of the order, and each range is numbered from where the one before ends.
+
+    df is a checkpoint first, as sampling it for the ranges would compute it (and ask a model) twice; so are the dealt rows, as other samples give other ranges.
+    """
+    dealt = _kept(_kept(df).repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))  # a row per range
+    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
+    n = F.row_number().over(W.partitionBy("__p").orderBy(*order)).cast("long")
+    numbered = dealt.withColumn(ident, n).join(F.broadcast(before), "__p")
+    return numbered.withColumn(ident, F.col(ident) + F.col("__before") + int(start)).drop("__p", "__before")
 
 
 def current_id(history: DataFrame, order: str = "seq") -> int:

@@ -249,6 +249,11 @@ def id_assignment(spark, d):
     return ranking.assign_ids(_t(spark, d, "part").where("p_size = 1"), 100, [F.col("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "id")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id FROM orders")
+def id_assignment_orders(spark, d):
+    return ranking.assign_ids(_t(spark, d, "orders").select("o_orderkey", "o_orderdate"), 0, [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "id")
+
+
 _BOARD = """SELECT event_type, event_id, rn AS rank, total, CASE WHEN user_id = lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id DESC) THEN '↳' ELSE CAST(user_id AS VARCHAR) END AS who FROM (
   SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn, count(*) OVER (PARTITION BY event_type) AS total FROM events) WHERE rn <= 20"""
 

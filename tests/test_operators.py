@@ -6,13 +6,16 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from harrow import config, models, schemas
+from harrow import config, models, queries, schemas
 from harrow.functions import urls
 from harrow.operators import changes, companies, dedup, eligibility, ranking
 from harrow.plans import board, sync
 from harrow.sources import files, lists, vendors
 from harrow.streaming import feed
 
+SF = "/root/testdata/sf0.001"
+
+
 def as_of():
     return F.lit("2026-07-02 20:00:00").cast("timestamp")
 
@@ -181,3 +184,14 @@ def test_url_predicates(spark):
     df = spark.createDataFrame([("https://boards.greenhouse.io/x",), ("https://jobs.ashbyhq.com/x",), ("https://a.icims.com/jobs/search?x",)], "u string")
     got = df.select(urls.is_greenhouse_board(p).alias("a"), urls.is_ashby_board(p).alias("b"), urls.is_icims_search(p).alias("c")).collect()
     assert [tuple(r) for r in got] == [(True, False, False), (False, True, False), (False, False, True)]
+
+
+def test_ids_are_dealt_by_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
+        got = ranking.assign_ids(df, 10, [F.desc("k")]).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.k, r.id) for r in got) == [(k, 1010 - k) for k in range(1000)] and len({r.p for r in got}) > 1
+    assert queries.QUERIES["id_assignment_orders"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
