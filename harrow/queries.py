@@ -121,6 +121,18 @@ def keyed_merge(spark, d):
     return companies.merge(side(0), side(1), ["o_custkey"], ["urls"]).select("o_custkey", "first", F.size("urls").cast("long").alias("n_urls"))
 
 
+@query(
+    """WITH n AS (SELECT o_custkey, min(o_orderkey) AS first, count(o_orderkey) AS c FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+    o AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderkey % 3 IS DISTINCT FROM 0 GROUP BY 1)
+    SELECT o_custkey, first, c AS n_urls FROM n UNION ALL SELECT o_custkey, first, 0 FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM n)"""
+)
+def keyed_merge_all(spark, d):
+    """Like keyed_merge, over all orders: each is on one of the sides."""
+    o = _t(spark, d, "orders")
+    side = lambda rows: o.where(rows).groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"), F.collect_list("o_orderkey").alias("urls"))
+    return companies.merge(side("o_orderkey % 3 <=> 0"), side("not (o_orderkey % 3 <=> 0)"), ["o_custkey"], ["urls"]).select("o_custkey", "first", F.size("urls").cast("long").alias("n_urls"))
+
+
 @query("SELECT n_nationkey, CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' ELSE lower(n_name) END AS code FROM nation")
 def override_lookup(spark, d):
     return dedup.lookup(_t(spark, d, "nation"), "n_name", {"FRANCE": "FR", "GERMANY": "DE"}, "code", F.lower("n_name")).select("n_nationkey", "code")

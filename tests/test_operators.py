@@ -195,3 +195,10 @@ def test_ids_are_dealt_by_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted((r.k, r.id) for r in got) == [(k, 1010 - k) for k in range(1000)] and len({r.p for r in got}) > 1
     assert queries.QUERIES["id_assignment_orders"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_merge_of_all_orders(spark):
+    o = spark.read.parquet(f"{SF}/orders.parquet")
+    got = queries.QUERIES["keyed_merge_all"](spark, SF)
+    assert got.count() == o.select("o_custkey").distinct().count()
+    assert got.agg(F.sum("n_urls")).first()[0] == o.where("o_orderkey % 3 = 0").count()
