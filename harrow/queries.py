@@ -330,6 +330,13 @@ def union_sources(spark, d):
     return dedup.union_distinct(t.where("lang = 'en'"), t.where("lang = 'en' or doc_id % 2 = 0"))
 
 
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') UNION SELECT doc_id, lang FROM documents WHERE lang IS DISTINCT FROM 'en'")
+def union_sources_all(spark, d):
+    """Like union_sources, over all documents: those of one language are in both operands."""
+    t = _t(spark, d, "documents").select("doc_id", "lang")
+    return dedup.union_distinct(t.where("lang in ('en', 'de')"), t.where("not (lang <=> 'en')"))
+
+
 @query("SELECT event_id, ts FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-30'")
 def posted_today(spark, d):
     return _t(spark, d, "events").where(dates.same_utc_day(F.col("ts"), F.lit(AS_OF).cast("timestamp_ntz"))).select("event_id", "ts")

@@ -202,3 +202,8 @@ def test_merge_of_all_orders(spark):
     got = queries.QUERIES["keyed_merge_all"](spark, SF)
     assert got.count() == o.select("o_custkey").distinct().count()
     assert got.agg(F.sum("n_urls")).first()[0] == o.where("o_orderkey % 3 = 0").count()
+
+
+def test_union_of_all_documents(spark):
+    got = queries.QUERIES["union_sources_all"](spark, SF)
+    assert sorted(got.collect()) == sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").distinct().collect())
