@@ -12,6 +12,8 @@ entities are never shuffled.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +61,10 @@ PATTERN = (
     + rf"|(?=[\p{{Lu}}г])(?:{PATTERNS['name']})"
     + rf"|(?<![._%+-]){PATTERNS['email']})"
 )
-#: Draws that an entity may need at most. Names have about 40**2 and more forms, all others far more.
-DRAWS = 64
+#: After so many draws each, names, mail addresses and phones get one more syllable, letter or digit, so that short ones never run out of forms.
+GROW = 4
+#: Rounds in succession in which no entity found a free replacement, after which a kind of fixed length counts as full (social security numbers have 10**9 forms, others more).
+STALLED = 64
 
 
 def _kind(m: Column) -> Column:
@@ -89,8 +93,8 @@ def _draw(h: str, i: str, n: int | str) -> str:
     return f"cast(pmod(xxhash64({h}, {i}), {n}) as int)"
 
 
-def _candidate() -> str:
-    """SQL of a draw for (kind, norm) by the keyed hash h. Kept are a mail address's top domain, country codes and a card's first digit."""
+def _candidate(more: int = 0) -> str:
+    """SQL of a draw for (kind, norm) by the keyed hash h, longer by `more` where the kind may grow. Kept are a mail address's top domain, country codes and a card's first digit."""
     keep = "if(kind = 'email', length(norm) - length(substring_index(norm, '.', -1)), length(norm))"
     first = "case kind when 'phone' then greatest(0, length(norm) - 10) when 'iban' then 2 when 'card' then 1 else 0 end"
     pick = lambda s, i="i": f"substring('{LETTERS[s]}', 1 + {_draw('h', i, len(LETTERS[s]))}, 1)"
@@ -98,16 +102,19 @@ def _candidate() -> str:
         f"case when i < {first} or i >= {keep} then c "
         f"when c between '0' and '9' and kind = 'secret' and norm rlike '^[0-9a-f]+$' then substring('0123456789abcdef', 1 + {_draw('h', 'i', 16)}, 1) "
         f"when c between 'a' and 'f' and kind = 'secret' and norm rlike '^[0-9a-f]+$' then substring('0123456789abcdef', 1 + {_draw('h', 'i', 16)}, 1) "
-        f"when c between '0' and '9' then cast({_draw('h', 'i', 10)} as string) "
+        f"when c rlike '\\\\p{{N}}' then cast({_draw('h', 'i', 10)} as string) "
         f"when c between 'Ͱ' and 'Ͽ' then {pick('greek')} when c between 'Ѐ' and 'ӿ' then {pick('cyrillic')} "
-        f"when lower(c) <> upper(c) then {pick('latin')} else c end"
+        f"when c rlike '\\\\p{{L}}' then {pick('latin')} else c end"
     )
     by_char = f"array_join(transform(filter(split(norm, ''), c -> c <> ''), (c, i) -> {char}), '')"
+    if more:
+        extra = lambda x: f"array_join(transform(sequence(1, {more}), i -> {x}), '')"
+        by_char = f"concat(if(kind = 'email', {extra(pick('latin', '-i'))}, ''), {by_char}, if(kind = 'phone', {extra(f'cast({_draw("h", "-i", 10)} as string)')}, ''))"
     octets = f"array_join(transform(sequence(0, 3), i -> cast(if(i = 0, 1 + {_draw('h', 'i', 223)}, {_draw('h', 'i', 256)}) as string)), '.')"
 
     def name(script: str) -> str:
         array = "array(" + ", ".join(f"'{s}'" for s in SYLLABLES[script]) + ")"
-        body = f"array_join(transform(sequence(1, greatest(2, least(5, (length(norm) + 1) div 2))), i -> element_at({array}, 1 + {_draw('h', 'i', len(SYLLABLES[script]))})), '')"
+        body = f"array_join(transform(sequence(1, greatest(2, least(5, (length(norm) + 1) div 2)) + {more}), i -> element_at({array}, 1 + {_draw('h', 'i', len(SYLLABLES[script]))})), '')"
         e = ENDINGS[script]
         return f"concat({body}, case kind when 'given_m' then '{e['m']}' when 'given_f' then '{e['f']}' when 'given_n' then '{e['n']}' else {pick(script, '0')} end)"
 
@@ -118,36 +125,40 @@ def _candidate() -> str:
 def _rendered() -> str:
     """SQL of the replacement s of `norm` in the writing of `raw`: its separators and its case."""
     alnum = r"'[^\\p{L}\\p{N}]'"
-    same = "length(raw) = length(s)"
+    more = "length(s) - length(norm)"
+    s = f"case kind when 'email' then substring(s, 1 + {more}) else s end"
+    same = f"length(raw) = length({s})"
     at = f"if({same}, i + 1, length(regexp_replace(substring(raw, 1, i + 1), {alnum}, '')))"
-    char = f"case when kind in ('phone', 'card', 'ssn', 'iban') and regexp_replace(c, {alnum}, '') = '' then c when c = upper(c) and c <> lower(c) then upper(substring(s, {at}, 1)) else substring(s, {at}, 1) end"
+    char = f"case when kind in ('phone', 'card', 'ssn', 'iban') and regexp_replace(c, {alnum}, '') = '' then c when c = upper(c) and c <> lower(c) then upper(substring({s}, {at}, 1)) else substring({s}, {at}, 1) end"
     return (
         "case when kind = 'ip' then s "
         "when kind = 'surname' or kind like 'given%' then if(raw = upper(raw), upper(s), concat(upper(substring(s, 1, 1)), substring(s, 2))) "
-        f"else array_join(transform(filter(split(raw, ''), c -> c <> ''), (c, i) -> {char}), '') end"
+        f"else concat(if(kind = 'email', substring(s, 1, {more}), ''), array_join(transform(filter(split(raw, ''), c -> c <> ''), (c, i) -> {char}), ''), if(kind = 'phone', substring(s, 1 + length(norm)), '')) end"
     )
 
 
 def _replacements(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, s) of the distinct (kind, norm): s is unlike all norms of the kind and unlike every other s of it."""
-    candidate = _candidate()
     space = F.when(F.col("kind").like("given%") | (F.col("kind") == "surname"), F.lit("name")).otherwise(F.col("kind"))
     entities = entities.withColumn("space", space)
     taken = entities.select("space", F.col("norm").alias("s")).distinct()
-    todo, done = cut(entities), None
-    for draw in range(DRAWS):
+    todo, done, left, stalled = cut(entities), None, -1, 0
+    for draw in itertools.count():
         h = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "norm", F.lit(str(draw))), 256)
-        tried = todo.withColumn("h", h).withColumn("s", F.expr(candidate)).drop("h")
+        tried = todo.withColumn("h", h).withColumn("s", F.expr(_candidate(draw // GROW))).drop("h")
         free = tried.join(taken, ["space", "s"], "left_anti")
         first = free.groupBy("space", "s").agg(F.min(F.struct("kind", "norm")).alias("w"))
         won = first.select("space", F.col("w.kind").alias("kind"), F.col("w.norm").alias("norm"), "s")
         won = cut(won)
         done = won if done is None else done.union(won)
         todo = cut(todo.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"))
-        if todo.limit(1).count() == 0:
+        before, left = left, todo.count()
+        if left == 0:
             return done.select("kind", "norm", "s")
+        stalled = stalled + 1 if left == before else 0
+        if stalled == STALLED:
+            raise ValueError(f"{left} entities whose kind has no free replacement of its fixed length")
         taken = taken.union(won.select("space", "s"))
-    raise ValueError(f"entities without a replacement of their own after {DRAWS} draws")
 
 
 def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -63,6 +63,16 @@ def test_pii_distinct(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_more_short_names_than_short_replacements(spark):
+    given = ["".join(p).capitalize() for p in itertools.product("abcdefghijklm", repeat=3)]
+    texts = [*(f"Mr {x} Smith" for x in given), *(f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"), "张@例.com"]
+    got = [r.text for r in pii.surrogates(frame(spark, texts), "k").select("text").collect()]
+    assert len({*got}) == len(texts) and not {*got} & {*texts} and all("张" not in x and "例" not in x for x in got)
+    names = [x for x in got if x.startswith("Mr ")]
+    assert len(names) == len(given) > 2000 and all(re.fullmatch(r"Mr [A-Z][a-z]*n [A-Z][a-z]+", x) for x in names)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.com", x) for x in got if "@" in x)
+
+
 def test_pii_after_punctuation(spark):
     sha = "f32ab9ba2834a0d390df92664b1272635dbc0e11"
     kinds = {"741-555-3069": "._-%+", "4111111111111111": "._-%+", "DE89370400440532013000": "._-%+", "Mr Smith": "._-%+", sha: ".-%+", "10.1.2.3": "_-%+", "123-45-6789": "._%+"}
