@@ -9,9 +9,11 @@ sets share. Subsets in which a set has no element say nothing. With s groups mor
 which a set with empty subsets in s groups or fewer has a full one. A set with more is partitioned again under another seed,
 and only the last seed keeps signatures of empty subsets, so no pair is lost.
 
-Equal sets are one class from the start. Within a signature's bucket, each class is compared with the smallest one only. Families
-(what shared signatures connect) whose members are then still in several components go on with these, see _rest, so
-links between any two texts count while pairs are never enumerated among those that are linked already.
+Equal sets are one class from the start, and a class is looked at once, by its first document. Families are what shared
+signatures connect. A family travels as its members' texts, one row each, and is joined where it arrives: a member looks up those that
+hold one of its rarest shingles, overlaps are counted exactly, and links unite components as they are found, so members of the
+largest component need no look of their own. What comes out is a row per member, never a row per pair. A family of more than
+SLICE shingles is dealt into slices of so many: see _large.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm import textvec
@@ -33,14 +36,17 @@ K2, N2 = 1, 3
 SEEDS = 3
 #: One group in so many is more than the pigeonhole principle needs, so similar sets share one subset more for each.
 SLACK = 16
-#: Members of a slice of a family that one task compares with each other.
-BLOCK = 4096
+#: Shingles of a slice of a family, which is what one task holds at a time.
+SLICE = 1 << 21
+#: Signatures that a task reads, about.
+PER_TASK = 1 << 22
 
 
 @dataclass(frozen=True)
 class Params:
     n: int = 5
     percent: int = 80
+    slice_: int = SLICE
 
 
 def sets(buf: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -128,32 +134,32 @@ def digests(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, p: Params) -> DataFrame:
-    """(sig, doc_id) of (doc_id, text). A task gives the signatures of a set once, under the first document that has it."""
+    """(sig, d1) of (doc_id, text): a class's signatures, from each task that has the class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
             for lo, _, buf, offs in chunks(batch.column(1)):
-                sigs, rows = [], []
+                sigs, keys = [], []
                 for i, s in enumerate(sets(buf, offs, p.n)):
-                    key = _digest(s)
+                    key = _digest(s)[0]
                     if not len(s) or key in seen or not ids[lo + i].is_valid:
                         continue
                     seen.add(key)
                     sigs.append(signatures(s, p.percent))
-                    rows.append((lo + i, len(sigs[-1])))
-                if rows:
-                    index = np.repeat([r for r, _ in rows], [k for _, k in rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), ids.take(pa.array(index))], names=["sig", "doc_id"])
+                    keys.append(np.full(len(sigs[-1]), key, np.int64))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "d1"])
 
-    return docs.mapInArrow(run, "sig long, doc_id long")
+    return docs.mapInArrow(run, "sig long, d1 long")
 
 
-def stars(rows: DataFrame) -> DataFrame:
-    """(a, b): of what the signatures in each task's buckets connect, the smallest document with each other one.
+def stars(rows: DataFrame, parts: int) -> DataFrame:
+    """(a, b), a < b: classes that signatures connect; what is connected here is what shares signatures, in one step or in several.
 
-    That is a row per document and task at most, however many signatures it shares there.
+    A task gives a spanning forest of its buckets, so a row per class at most, however many signatures it shares there.
+    Over the tasks' rows each class then names its smallest neighbour only, and the others name that one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,188 +188,210 @@ def stars(rows: DataFrame) -> DataFrame:
         b = np.flatnonzero(label != np.arange(len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[label[b]]), pa.array(ids[b])], names=["a", "b"])
 
-    return rows.repartition(partitions(rows.sparkSession), "sig").mapInArrow(run, "a long, b long").distinct()
+    forest = rows.repartition(parts, "sig").mapInArrow(run, "a long, b long").distinct()
+    named = forest.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    edges = named.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
+    return edges.select("e.a", "e.b").where("a <> b").distinct()
 
 
-def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n, sketch) of (doc_id, text): a byte for each of 2**m ranges of the hash domain, the sum of what lies there.
+def joined(members: list[np.ndarray], label: np.ndarray, probes: np.ndarray, percent: int) -> np.ndarray:
+    """The component of each set: its label, united along links of the sets in `probes` with any other one.
 
-    Sets that differ in k elements differ in k bytes at most, so a sketch rules pairs out and never wrongly. There is a range for
-    three elements, about; sketches of half the length come from adding neighbours.
+    A set that reaches the similarity with x holds one of the len(x) - percent * len(x) / 100 + 1 shingles of x that are rarest here.
+    Overlaps with those that do are counted over all shingles. Sets of the component that is largest by then are looked at last,
+    and only if another one has become larger; two sets of one component are never compared.
     """
+    size = np.array([len(s) for s in members])
+    off = np.concatenate([[0], np.cumsum(size)])
+    _, token, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often[token] > 1)
+    order = np.argsort(token[shared], kind="stable")
+    post = np.repeat(np.arange(len(members)), size)[shared][order]
+    begin = np.concatenate([[0], np.cumsum(np.where(often > 1, often, 0))])
+    up = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]  # a first set of each label
+    weight = np.bincount(up, minlength=len(up))
+
+    def root(x: np.ndarray) -> np.ndarray:
+        while True:
+            y = up[x]
+            if (up[y] == y).all():
+                up[x] = y
+                return y
+            x = y
+
+    def holders(t: np.ndarray) -> np.ndarray:
+        n = begin[t + 1] - begin[t]
+        return post[np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    main = int(np.argmax(weight))
+    queue = probes
+    while len(queue):
+        later = []
+        for x in queue.tolist():
+            own = int(root(np.array([x]))[0])
+            if own == main and weight[main] > 1:
+                later.append(x)
+                continue
+            t = token[off[x] : off[x + 1]]
+            need = -(-percent * len(t) // 100)
+            rare = t[np.argpartition(often[t], len(t) - need)[: len(t) - need + 1]]
+            rare = rare[often[rare] > 1]
+            if not len(rare):
+                continue
+            near = np.unique(holders(rare))
+            few, many = np.minimum(size[near], len(t)), np.maximum(size[near], len(t))
+            near = near[(100 * few >= percent * many) & (root(near) != own)]
+            if not len(near):
+                continue
+            t = t[often[t] > 1]
+            if len(near) < 8:
+                both = np.array([np.isin(token[off[y] : off[y + 1]], t, assume_unique=True).sum() for y in near.tolist()])
+            else:
+                both = np.bincount(holders(t), minlength=len(members))[near]
+            near = near[100 * both >= percent * (size[near] + size[x] - both)]
+            for y in np.unique(root(near)).tolist():
+                a, b = sorted((own, y), key=lambda k: (-weight[k], k))
+                up[b] = a
+                weight[a] += weight[b]
+                own = a
+            if weight[own] > weight[main]:
+                main = own
+        queue = np.array(later, np.int64)
+        queue = queue[root(queue) != main] if len(queue) else queue
+    return root(np.arange(len(members)))
+
+
+_MEMBER = "slice long, doc_id long, label long, probe boolean, d1 long, d2 long, body binary"
+
+
+def _components(rows: DataFrame, p: Params) -> DataFrame:
+    """(label, component): labels of each slice's members that links unite, with the smallest of them. One slice at a time is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, out = [], []
-            for _, _, buf, offs in chunks(batch.column(1)):
-                for s in sets(buf, offs, p.n):
-                    m = max(4, len(s).bit_length() - 2)
-                    total = np.zeros(len(s) + 1, np.uint64)
-                    np.cumsum(textvec.mix(s + textvec.R), out=total[1:])
-                    at = np.concatenate([[0], np.searchsorted(s >> np.uint64(64 - m), np.arange(1, 1 << m, dtype=np.uint64)), [len(s)]])
-                    n.append(len(s))
-                    out.append(np.diff(total[at]).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, sketch binary")
-
+        unzip = zstandard.ZstdDecompressor()
+        held: list[tuple[int, bool, np.ndarray]] = []
+        current = None
+        out: list[tuple[int, int]] = []
+
+        def end() -> None:
+            if len(held) > 1:
+                label = np.array([x[0] for x in held], np.int64)
+                probes = np.flatnonzero([x[1] for x in held])
+                of = joined([x[2] for x in held], label, probes, p.percent)
+                order = np.lexsort((label, of))
+                first = np.concatenate([[True], of[order][1:] != of[order][:-1]])
+                least = label[order][np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))]
+                pairs = np.unique(np.stack([label[order], least], axis=1), axis=0)
+                out.extend(map(tuple, pairs[pairs[:, 0] != pairs[:, 1]].tolist()))
+            held.clear()
+
+        def rows_out() -> pa.RecordBatch:
+            a = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["label", "component"])
 
-def _folded(sketch: bytes, size: int) -> np.ndarray:
-    a = np.frombuffer(sketch, np.uint8)
-    return a if len(a) == size else a.reshape(size, -1).sum(axis=1, dtype=np.uint8)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, p: Params) -> DataFrame:
-    """Of the pairs (a, b), those whose texts' sets reach the similarity: sketches rule out most others, then whole sets decide."""
-    side = lambda c: sketched.select(F.col("doc_id").alias(c), F.struct("n", "sketch").alias(f"s{c}"))
-
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                few, many = sorted((x["n"], y["n"]))
-                size = min(len(x["sketch"]), len(y["sketch"]))
-                apart = np.count_nonzero(_folded(x["sketch"], size) != _folded(y["sketch"], size))
-                ok.append(few > 0 and 100 * few >= p.percent * many and apart <= few * (100 - p.percent) // p.percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    near = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-    near = cut(near.mapInArrow(sieve, "a long, b long").distinct())
-    texts = might_hold(docs, "doc_id", near.select(F.col("a").alias("doc_id")).union(near.select("b")))
-    both = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                each = [[s for _, _, buf, offs in chunks(batch.column(c)) for s in sets(buf, offs, p.n)] for c in (2, 3)]
-                ok = []
-                for x, y in zip(*each, strict=True):
-                    inter = len(x) + len(y) - len(np.union1d(x, y))
-                    ok.append(len(x) > 0 and len(y) > 0 and 100 * inter >= p.percent * (len(x) + len(y) - inter))
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long").distinct()
-
-
-def _slices(active: DataFrame, p: Params) -> DataFrame:
-    """(slice, doc_id, component, n, sketch): members of a family that may be similar by size, BLOCK of them and BLOCK others at most, about.
-
-    A slice has one size band and the next one. A larger one is cut into blocks, and every two blocks meet.
+                texts = pa.array([unzip.decompress(x) for x in batch.column(6).to_pylist()], pa.large_binary()).cast(pa.large_string())
+                found = (s for _, _, buf, offs in chunks(texts) for s in sets(buf, offs, p.n))
+                for at, label, probe, d1, d2, s in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), found, strict=True):
+                    if at != current:
+                        end()
+                        current = at
+                    if _digest(s) == (d1, d2):  # a row whose id another text has too is another class's
+                        held.append((label, probe, s))
+            if len(out) > 50_000:
+                yield rows_out()
+        end()
+        yield rows_out()
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "slice").sortWithinPartitions("slice", "doc_id")
+    return dealt.mapInArrow(run, "label long, component long")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1)
+    for whole in batches:
+        for k in range(0, whole.num_rows, 512):
+            b = whole.slice(k, 512)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress((x or "").encode()) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "body"])
+
+
+def _large(members: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """(label, component) of families of more than a slice.
+
+    Members go by pairs of neighbouring size bands, which alone can be similar. Each such part is dealt into slices of p.slice_
+    shingles, which are joined by themselves; then the members outside a part's largest component meet all its slices, each by each.
     """
 
     def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(3).to_numpy()
+            n = batch.column(2).to_numpy()
             ends = np.array(bands(p.percent, int(n.max(initial=1))))
             band = np.searchsorted(ends, n)
             family = batch.column(0).to_numpy().view(np.uint64)
             for back in (0, 1):
                 s = textvec.mix(family + (band - back).astype(np.uint64) * textvec.R).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), *batch.columns[1:]], names=["slice", *batch.schema.names[1:]])
-
-    rows = cut(active.mapInArrow(by_size, "slice long, doc_id long, component long, n long, sketch binary"))
-    sizes = rows.groupBy("slice").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rows = rows.join(sizes.where("lo < hi").select("slice", F.ceil(F.col("size") / BLOCK).alias("blocks")), "slice")
-
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s, doc, blocks = (batch.column(i).to_numpy() for i in (0, 1, 5))
-            own = (textvec.mix(doc.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-            for k in range(int(blocks.max(initial=0))):
-                at = np.flatnonzero(k < blocks)
-                lo, hi = np.minimum(own[at], k), np.maximum(own[at], k)
-                pair = textvec.mix(s[at].view(np.uint64) + textvec.mix((lo * (1 << 31) + hi).view(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), *(batch.column(i).take(pa.array(at)) for i in range(1, 5))], names=batch.schema.names[:5])
-
-    return rows.mapInArrow(by_block, "slice long, doc_id long, component long, n long, sketch binary")
-
-
-def _unlinked(active: DataFrame, p: Params) -> DataFrame:
-    """(a, b): pairs of a family's members in different components that sketches don't rule out.
-
-    Members are compared slice by slice in place; only what passes is a row.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        t = pa.Table.from_batches(got).sort_by([("slice", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
-        name, doc, comp, n = (t.column(i).to_numpy() for i in range(4))
-        sketch = t.column(4).to_pylist()
-        begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        found: set[tuple[int, int]] = set()
-        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(name)], strict=True):
-            size = min(len(sketch[i]) for i in range(lo, hi))
-            m = np.stack([_folded(sketch[i], size) for i in range(lo, hi)])
-            k = n[lo:hi] * (100 - p.percent) // p.percent
-            last = lo + np.searchsorted(n[lo:hi], n[lo:hi] * 100 // p.percent, side="right")
-            for i in range(lo, hi):
-                other = i + 1 + np.flatnonzero(comp[i + 1 : last[i - lo]] != comp[i])
-                if len(other):
-                    apart = np.count_nonzero(m[other - lo] != m[i - lo], axis=1)
-                    found.update((min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j]))) for j in other[apart <= k[i - lo]])
-            if len(found) > 100_000:
-                yield _pairs(found)
-                found.clear()
-        yield _pairs(found)
-
-    dealt = _slices(active, p).repartition(partitions(active.sparkSession), "slice")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    a = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
-
-
-def _rest(star: DataFrame, labels: DataFrame, sketched: DataFrame, p: Params) -> DataFrame:
-    """Pairs that still need a look: members of one family, of what shared signatures connect, that are in different components.
-
-    Any two documents that share a signature are in one family. A document is in one family only, so these are fewer rows
-    than the members of all buckets.
-    """
-    families = components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    held = families.join(labels, "doc_id", "left").select("family", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_ = held.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
-    active = held.join(open_, "family").join(sketched, "doc_id").select("family", "doc_id", "component", "n", "sketch")
-    return _unlinked(active, p)
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array(s), *batch.columns[1:]], names=["part", *batch.schema.names[1:]])
+
+    of = lambda c, n: F.pmod(F.xxhash64(c), n)
+    cuts = lambda weight: F.ceil(F.sum(weight) / p.slice_)
+    rows = members.select("family", "doc_id", "n_shingles", "d1", "d2").mapInArrow(by_size, "part long, doc_id long, n_shingles long, d1 long, d2 long")
+    rows = cut(rows.join(rows.groupBy("part").agg(cuts("n_shingles").alias("cuts")), "part"))
+    body = lambda x: x.join(texts, "doc_id").selectExpr(*(c.split()[0] for c in _MEMBER.split(", ")))
+    own = rows.withColumn("slice", F.xxhash64("part", of("doc_id", F.col("cuts")))).withColumn("label", F.col("doc_id")).withColumn("probe", F.lit(True))
+    first = cut(_components(body(own), p).union(rows.selectExpr("doc_id as label", "doc_id as component").distinct()))
+    labels = cut(components(first, "label", "component").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label"))
+    many = rows.where("cuts > 1").join(labels, "doc_id")
+    by = many.groupBy("part", "label").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"))
+    main = by.groupBy("part").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    outside = by.join(main, "part").where("label <> main").groupBy("part").agg(cuts("weight").alias("probes"), F.first("main").alias("main"))
+    many = cut(many.join(outside, "part"))  # parts that are one component by now are done
+    met = lambda mine, others: F.explode(F.sequence(F.lit(0).cast("long"), others - 1))
+    a = many.where("label <> main").withColumn("x", of("doc_id", F.col("probes"))).withColumn("y", met(None, F.col("cuts"))).withColumn("probe", F.lit(True))
+    b = many.withColumn("y", of("doc_id", F.col("cuts"))).withColumn("x", met(None, F.col("probes"))).withColumn("probe", F.lit(False))
+    second = a.unionByName(b).withColumn("slice", F.xxhash64("part", "x", "y"))
+    return first.union(labels.select("label", F.col("doc_id").alias("component"))).union(_components(body(second), p))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, slice_: int = SLICE) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id that links reach, itself included).
 
     Two texts link when 100 * shared shingles >= percent * shingles of either. Null or empty texts, and those without
     words, have no set, and link with nothing. A null id is linked with nothing and has a null component. Rows that
-    share an id are one node: links of any of them are its links. Other columns are left behind; an empty table gives
-    no rows.
+    share an id are one node: links of any of them are its links. Repeated rows are copies of one class. A very long text is one
+    row throughout and is held whole by one task. Ties go to the smallest id. Other columns are left behind; an empty table gives no rows.
+    Shingles are compared by 64-bit hashes.
     """
-    p = Params(n, percent)
+    spark = docs.sparkSession
+    p = Params(n, percent, slice_)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     own = cut(digests(docs, p))
-    full = own.where("n_shingles > 0 and doc_id is not null").distinct()
-    same = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = cut(full.join(same, ["n_shingles", "d1", "d2"]).select("doc_id", "rep"))
-    copies = reps.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    # documents with equal sets stand for one another: the smallest is looked at
-    a = copies.select(F.col("b").alias("a"), F.col("a").alias("ra"))
-    b = copies.select("b", F.col("a").alias("rb"))
-    star = stars(signature_rows(docs, p)).join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    star = cut(star.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    met = star.select(F.col("a").alias("doc_id")).union(star.select("b"))
-    sketched = cut(sketches(might_hold(docs, "doc_id", met), p).dropDuplicates(["doc_id", "sketch"]))
-    links = cut(verified(star, docs, sketched, p))
-    labels = components(links).withColumnRenamed("node", "doc_id")
-    rest = cut(_rest(star, labels, sketched, p).join(star, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = links.union(cut(verified(rest, docs, sketched, p)))
-    whole = components(links.union(copies))
-    return (
-        own.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    )
+    key = ["n_shingles", "d1", "d2"]
+    full = own.where("n_shingles > 0 and doc_id is not null")
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    stats = full.agg(F.sum("n_shingles")).first()[0] or 0
+    star = cut(stars(signature_rows(docs, p), max(partitions(spark), stats // PER_TASK)))
+    families = components(star).withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
+    members = classes.join(families, "d1").select("family", F.col("rep").alias("doc_id"), *key)
+    members = cut(members.join(members.groupBy("family").agg(F.sum("n_shingles").alias("weight")), "family"))
+    # texts travel compressed
+    texts = might_hold(docs, "doc_id", members.select("doc_id")).mapInArrow(_packed, "doc_id long, body binary")
+    small = members.where(F.col("weight") <= p.slice_).join(texts, "doc_id")
+    small = small.select(F.col("family").alias("slice"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("probe"), "d1", "d2", "body")
+    labels = cut(_components(small, p))
+    if members.where(F.col("weight") > p.slice_).limit(1).count():
+        large = components(_large(members.where(F.col("weight") > p.slice_), cut(texts), p), "label", "component")
+        labels = labels.union(large.select(F.col("node").alias("label"), "component"))
+    moved = classes.join(labels.select(F.col("label").alias("rep"), "component"), "rep", "left").where("copies > 1 or component <> rep")
+    moved = moved.select(*key, F.coalesce("component", "rep").alias("component"))
+    out = cut(own.join(moved, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    if out.groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").limit(1).count():
+        whole = components(out, "doc_id", "component_id").withColumnRenamed("component", "least")
+        out = out.join(whole, out["doc_id"] == whole["node"], "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:

@@ -359,8 +359,8 @@ def components_by_force(sets, percent):
     return {i: root(i) for i in sets}
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_join(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "slice_"), [(3, 90, jaccard_join.SLICE), (5, 80, jaccard_join.SLICE), (5, 80, 300)])
+def test_jaccard_join(spark, n, percent, slice_):
     r = np.random.default_rng(9)
     texts = awkward()
     for k in range(8):
@@ -375,16 +375,38 @@ def test_jaccard_join(spark, n, percent):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
     docs = frame(spark, texts).withColumn("component", F.lit(1))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(docs, n=n, percent=percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(docs, n=n, percent=percent, slice_=slice_).collect()}
     want = components_by_force(sets, percent)
     assert got == {i: (len(s), want[i]) for i, s in sets.items()}
-    assert sorted(r.doc_id for r in jaccard_join.keep_one(docs, n=n, percent=percent).collect()) == sorted(i for i in want if want[i] == i)
     if n == 3:
+        assert sorted(r.doc_id for r in jaccard_join.keep_one(docs, n=n, percent=percent).collect()) == sorted(i for i in want if want[i] == i)
         odd = spark.createDataFrame([(None, texts[7]), (7, texts[7]), (7, texts[7])], "doc_id long, text string")
         assert sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard_join.groups(odd).collect()) == [(-1, -1), (7, 7), (7, 7)]
         assert jaccard_join.groups(odd.limit(0)).count() == 0
 
 
+def test_joined_equals_all_pairs():
+    """Families of near copies of one another, of copies that share boilerplate only, and both; with and without labels to begin with."""
+    r = np.random.default_rng(11)
+    for k in range(40):
+        base = r.integers(0, 1 << 62, int(r.integers(5, 80)), dtype=np.uint64)
+        members = []
+        for _ in range(int(r.integers(2, 60))):
+            own = base.copy()
+            at = r.choice(len(own), int(r.integers(0, 1 + len(own) // (2 + k % 9))), replace=False)
+            own[at] = r.integers(0, 1 << 62, len(at), dtype=np.uint64)
+            members.append(np.unique(own))
+        want = components_by_force({i: {*s.tolist()} for i, s in enumerate(members)}, 80)
+        got = jaccard_join.joined(members, np.arange(len(members)), np.arange(len(members)), 80)
+        assert [{*np.flatnonzero(got == g).tolist()} for g in dict.fromkeys(got.tolist())] == [{i for i in want if want[i] == g} for g in dict.fromkeys(want.values())]
+        half = jaccard_join.joined(members[::2], np.arange(0, len(members), 2), np.arange(len(members[::2])), 80)
+        label = np.arange(len(members))
+        label[::2] = half
+        label[::2] *= 2
+        rest = jaccard_join.joined(members, label, np.arange(1, len(members), 2), 80)
+        assert len({*zip(got.tolist(), rest.tolist(), strict=True)}) == len({*got.tolist()}) == len({*rest.tolist()})
+
+
 def test_signatures_lose_no_pair():
     r = np.random.default_rng(4)
     for _ in range(300):
