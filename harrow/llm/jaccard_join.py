@@ -13,7 +13,9 @@ Equal sets are one class from the start, and a class is looked at once, by its f
 signatures connect. A family travels as its members' texts, one row each, and is joined where it arrives: a member looks up those that
 hold one of its rarest shingles, overlaps are counted exactly, and links unite components as they are found, so members of the
 largest component need no look of their own. What comes out is a row per member, never a row per pair. A family of more than
-SLICE shingles is dealt into slices of so many: see _large.
+SLICE shingles, which passages that many texts share bring about, is taken apart once more by prefix filtering: two members can
+only link if they share one of so many first shingles, common ones last (see prefix_rows). What is still larger is dealt into
+slices of so many shingles: see _large.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm import textvec
-from harrow.llm.common import chunks, cut, might_hold, partitions, without
+from harrow.llm.common import BITMAP_WORDS, chunks, cut, might_hold, partitions, without
 from harrow.llm.components import components
 
 #: Differences that a group of ranges may hold, and ranges of a group.
@@ -199,7 +201,7 @@ def joined(members: list[np.ndarray], label: np.ndarray, probes: np.ndarray, per
 
     A set that reaches the similarity with x holds one of the len(x) - percent * len(x) / 100 + 1 shingles of x that are rarest here.
     Overlaps with those that do are counted over all shingles. Sets of the component that is largest by then are looked at last,
-    and only if another one has become larger; two sets of one component are never compared.
+    and only if another one has become larger or sets outside it are no probes; two sets of one component are never compared.
     """
     size = np.array([len(s) for s in members])
     off = np.concatenate([[0], np.cumsum(size)])
@@ -224,12 +226,13 @@ def joined(members: list[np.ndarray], label: np.ndarray, probes: np.ndarray, per
         return post[np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
     main = int(np.argmax(weight))
-    queue = probes
+    others = np.setdiff1d(np.arange(len(members)), probes)
+    queue, last = probes, False
     while len(queue):
         later = []
         for x in queue.tolist():
             own = int(root(np.array([x]))[0])
-            if own == main and weight[main] > 1:
+            if own == main and weight[main] > 1 and not last:
                 later.append(x)
                 continue
             t = token[off[x] : off[x + 1]]
@@ -256,8 +259,10 @@ def joined(members: list[np.ndarray], label: np.ndarray, probes: np.ndarray, per
                 own = a
             if weight[own] > weight[main]:
                 main = own
-        queue = np.array(later, np.int64)
-        queue = queue[root(queue) != main] if len(queue) else queue
+        later = np.array(later, np.int64)
+        queue = later[root(later) != main]
+        if not len(queue) and len(later) and (root(others) != main).any():
+            queue, last = later, True
     return root(np.arange(len(members)))
 
 
@@ -268,7 +273,6 @@ def _components(rows: DataFrame, p: Params) -> DataFrame:
     """(label, component): labels of each slice's members that links unite, with the smallest of them. One slice at a time is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
         held: list[tuple[int, bool, np.ndarray]] = []
         current = None
         out: list[tuple[int, int]] = []
@@ -276,8 +280,7 @@ def _components(rows: DataFrame, p: Params) -> DataFrame:
         def end() -> None:
             if len(held) > 1:
                 label = np.array([x[0] for x in held], np.int64)
-                probes = np.flatnonzero([x[1] for x in held])
-                of = joined([x[2] for x in held], label, probes, p.percent)
+                of = joined([x[2] for x in held], label, np.flatnonzero([x[1] for x in held]), p.percent)
                 order = np.lexsort((label, of))
                 first = np.concatenate([[True], of[order][1:] != of[order][:-1]])
                 least = label[order][np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))]
@@ -290,19 +293,13 @@ def _components(rows: DataFrame, p: Params) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["label", "component"])
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                texts = pa.array([unzip.decompress(x) for x in batch.column(6).to_pylist()], pa.large_binary()).cast(pa.large_string())
-                found = (s for _, _, buf, offs in chunks(texts) for s in sets(buf, offs, p.n))
-                for at, label, probe, d1, d2, s in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), found, strict=True):
-                    if at != current:
-                        end()
-                        current = at
-                    if _digest(s) == (d1, d2):  # a row whose id another text has too is another class's
-                        held.append((label, probe, s))
-            if len(out) > 50_000:
-                yield rows_out()
+        for s, _, (at, _, label, probe, *_) in _sets_of(batches, p, 6):
+            if at != current:
+                end()
+                current = at
+                if len(out) > 50_000:
+                    yield rows_out()
+            held.append((label, probe, s))
         end()
         yield rows_out()
 
@@ -318,6 +315,71 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress((x or "").encode()) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "body"])
 
 
+def _common(bodies: DataFrame, p: Params) -> np.ndarray:
+    """A bitmap, BITMAP_WORDS words whatever the input, of shingles that some task finds in three texts or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def often() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+            bit = token[n > 2] % np.uint64(BITMAP_WORDS * 64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(bit).astype(np.int64))], names=["bit"])
+
+        for s, *_ in _sets_of(batches, p, 3):
+            held.append(s)
+            size += len(s)
+            if size > p.slice_:
+                yield often()
+                size = 0
+        yield often()
+
+    words = bodies.mapInArrow(run, "bit long").groupBy(F.shiftrightunsigned("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("m"))
+    out = np.zeros(BITMAP_WORDS, np.int64)
+    for r in words.collect():
+        out[r.w] = r.m
+    return out.view(np.uint64)
+
+
+def prefix_rows(bodies: DataFrame, common: np.ndarray, p: Params) -> DataFrame:
+    """(sig, d1): of each class the shingles that come first where those in `common` come last, as many as a link must share one of."""
+
+    def rows(first: list[np.ndarray], d1: list[int]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(np.array(d1, np.int64), [len(x) for x in first]))], names=["sig", "d1"])
+        first.clear()
+        d1.clear()
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys = [], []
+        for s, d1, _ in _sets_of(batches, p, 3):
+            bit = s % np.uint64(BITMAP_WORDS * 64)
+            known = (common[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
+            held.append(s[np.lexsort((s, known))][: len(s) - -(-p.percent * len(s) // 100) + 1])
+            keys.append(d1)
+            if len(held) == 1024:
+                yield rows(held, keys)
+        if held:
+            yield rows(held, keys)
+
+    return bodies.mapInArrow(run, "sig long, d1 long")
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch], p: Params, at: int) -> Iterator[tuple[np.ndarray, int, tuple]]:
+    """Sets of packed texts, with d1 and the row; rows whose id another text has too, of another class, are left out. d1, d2 and the text stand from `at` - 2 on."""
+    unzip = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for k in range(0, whole.num_rows, 256):
+            batch = whole.slice(k, 256)
+            texts = pa.array([unzip.decompress(x) for x in batch.column(at).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            found = (s for _, _, buf, offs in chunks(texts) for s in sets(buf, offs, p.n))
+            for s, *row in zip(found, *(batch.column(i).to_pylist() for i in range(at)), strict=True):
+                if _digest(s) == (row[at - 2], row[at - 1]):
+                    yield s, row[at - 2], row
+
+
 def _large(members: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """(label, component) of families of more than a slice.
 
@@ -355,6 +417,21 @@ def _large(members: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return first.union(labels.select("label", F.col("doc_id").alias("component"))).union(_components(body(second), p))
 
 
+def _by_family(classes: DataFrame, star: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(label, component) of families of a slice at most; the members of the others, if any; the texts, which travel compressed."""
+    families = components(star).withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
+    members = classes.join(families, "d1").select("family", F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2")
+    members = cut(members.join(members.groupBy("family").agg(F.sum("n_shingles").alias("weight")), "family"))
+    if "body" in docs.columns:
+        texts = docs.select("doc_id", "body")
+    else:
+        texts = might_hold(docs, "doc_id", members.select("doc_id")).mapInArrow(_packed, "doc_id long, body binary")
+    small = members.where(F.col("weight") <= p.slice_).join(texts, "doc_id")
+    small = small.select(F.col("family").alias("slice"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("probe"), "d1", "d2", "body")
+    large = members.where(F.col("weight") > p.slice_)
+    return cut(_components(small, p)), large if large.limit(1).count() else None, texts
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, slice_: int = SLICE) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id that links reach, itself included).
 
@@ -373,17 +450,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     stats = full.agg(F.sum("n_shingles")).first()[0] or 0
     star = cut(stars(signature_rows(docs, p), max(partitions(spark), stats // PER_TASK)))
-    families = components(star).withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
-    members = classes.join(families, "d1").select("family", F.col("rep").alias("doc_id"), *key)
-    members = cut(members.join(members.groupBy("family").agg(F.sum("n_shingles").alias("weight")), "family"))
-    # texts travel compressed
-    texts = might_hold(docs, "doc_id", members.select("doc_id")).mapInArrow(_packed, "doc_id long, body binary")
-    small = members.where(F.col("weight") <= p.slice_).join(texts, "doc_id")
-    small = small.select(F.col("family").alias("slice"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("probe"), "d1", "d2", "body")
-    labels = cut(_components(small, p))
-    if members.where(F.col("weight") > p.slice_).limit(1).count():
-        large = components(_large(members.where(F.col("weight") > p.slice_), cut(texts), p), "label", "component")
-        labels = labels.union(large.select(F.col("node").alias("label"), "component"))
+    labels, large, texts = _by_family(classes, star, docs, p)
+    if large is not None:
+        bodies = cut(large.join(texts, "doc_id").select("doc_id", "d1", "d2", "body"))
+        star = cut(stars(prefix_rows(bodies, _common(bodies, p), p), max(partitions(spark), stats // PER_TASK)))
+        found, large, texts = _by_family(classes, star, bodies, p)
+        labels = labels.union(found)
+        if large is not None:
+            found = components(_large(large, texts, p), "label", "component")
+            labels = labels.union(found.select(F.col("node").alias("label"), "component"))
     moved = classes.join(labels.select(F.col("label").alias("rep"), "component"), "rep", "left").where("copies > 1 or component <> rep")
     moved = moved.select(*key, F.coalesce("component", "rep").alias("component"))
     out = cut(own.join(moved, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
