@@ -236,19 +236,33 @@ def test_quality_statistics(spark):
     assert quality_rules.judge(frame(spark, texts).limit(0)).count() == 0
 
 
-def brute_mcd(v: np.ndarray) -> np.ndarray:
-    """Squared distances by the same steps in numpy."""
+def brute_mcd(v: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """Squared distances by the same method in numpy, and the least determinant (its logarithm) that each start comes to."""
     low = lambda a, s: np.sort(a)[int(np.ceil(len(a) * s)) - 1]
-    m = np.array([low(c, 0.5) for c in v.T], float)
-    s = np.diag([(1.4826 * low(np.abs(c - k), 0.5)) ** 2 for c, k in zip(v.T, m, strict=True)])
-    floor = np.diag([quality_rules.FLOOR[n] ** 2 for n in quality_rules.VECTOR])
-    for step in range(quality_rules.STEPS + 1):
-        d = np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(s + floor), v - m)
-        if step < quality_rules.STEPS:
-            b = np.floor(np.log2(d + 1) * quality_rules._BINS)
-            near = v[b <= low(b, quality_rules.COVERAGE)]
-            m, s = near.mean(0), np.cov(near.T, bias=True) * quality_rules.CONSISTENCY
-    return d
+    q = quality_rules
+    floors = np.array([q.FLOOR[n] for n in q.VECTOR])
+    med = np.array([low(c, 0.5) for c in v.T], float)
+    sd = np.array([1.4826 * low(np.abs(c - k), 0.5) for c, k in zip(v.T, med, strict=True)])
+    z = (v - med) / (sd + floors)
+    length = (z * z).sum(1)
+    u = np.where(length[:, None, None] > 0, np.einsum("ki,kj->kij", z, z) / np.where(length > 0, length, 1)[:, None, None], 0)
+    starts = [(med, np.diag(sd**2)), (v.mean(0), np.cov(v.T, bias=True)), (med, np.round(u * 1e6).mean(0) / 1e6 * len(med) * np.outer(sd + floors, sd + floors))]
+    found, least = [], []
+    for k, (m, s) in enumerate(starts):
+        before = np.inf
+        for step in range(q.MOST_STEPS):
+            d = np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(s + np.diag(floors**2)), v - m)
+            b = np.floor(np.log2(d + 1) * q._BINS)
+            near = v[b <= low(b, q.COVERAGE)]
+            m, s = near.mean(0), np.cov(near.T, bias=True) * q.CONSISTENCY
+            now = np.linalg.slogdet(s + np.diag(floors**2))[1]
+            found.append((round(now, 9), k, step, m, s))
+            if now >= before - q.FALLS:
+                break
+            before = now
+        least.append(min(x[0] for x in found if x[1] == k))
+    _, _, _, m, s = min(found, key=lambda x: x[:3])
+    return np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(s + np.diag(floors**2)), v - m), least
 
 
 def test_outliers_equal_brute_force(spark):
@@ -258,13 +272,33 @@ def test_outliers_equal_brute_force(spark):
     got = quality_rules.judge(spark.createDataFrame(rows, DOCS), keep=["doc_id", "lang", "source"]).toPandas()
     for _, g in got.groupby([got.lang.fillna("-"), got.source.fillna("-")]):
         if len(g) >= quality_rules.LEAST_ROWS:
-            assert np.allclose(g.distance, brute_mcd(g[list(quality_rules.VECTOR)].to_numpy(float)))
+            assert np.allclose(g.distance, brute_mcd(g[list(quality_rules.VECTOR)].to_numpy(float))[0])
     assert set(got[~got.kept].doc_id) == set(range(120, 132))
     kept = quality_rules.keep_good(spark.createDataFrame(rows, DOCS))
     assert sorted(x.doc_id for x in kept.collect()) == list(range(120)) and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert "Python" not in kept._jdf.queryExecution().toString()
 
 
+def test_least_determinant_of_several_starts(spark):
+    """Two clouds on a slanted line and far outliers: starts end at different determinants, and the least is taken."""
+    r = np.random.default_rng(5)
+    p = len(quality_rules.VECTOR)
+    groups, least = {}, []
+    for g in range(6):
+        a = r.normal(0, 1, (150, p)) @ np.diag([300, 10, 200, 20, 10]) + np.outer(r.normal(0, 600, 150), np.ones(p))
+        b = r.normal(0, 150, (60 + 10 * g, p)) + np.array([4000, -500, 300 * g, 2500, 0])
+        groups[f"g{g}"] = np.round(np.concatenate([a, b])).astype(int)
+    rows = spark.createDataFrame([(g, *x) for g, v in groups.items() for x in v.tolist()], "grp string, " + ", ".join(f"{c} long" for c in quality_rules.VECTOR))
+    est = {e.grp: e for e in quality_rules.estimates(rows).collect()}
+    for g, v in groups.items():
+        d, each = brute_mcd(v.astype(float))
+        l = np.array([[est[g][f"l_{i}_{j}"] if j <= i else 0 for j in range(p)] for i in range(p)])
+        z = np.linalg.solve(l, (v - np.array([est[g][f"m_{i}"] for i in range(p)])).T)
+        assert np.allclose((z * z).sum(0), d) and np.isclose(2 * np.log(np.diag(l)).sum(), min(each))
+        least.append(max(each) - min(each))
+    assert max(least) > 0.01
+
+
 # language
 
 
