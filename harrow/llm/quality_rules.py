@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from harrow.llm.common import cut
 
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SPACES = r"[ \t\n\x0B\f\r]"
+SYMBOLS = "[#*$%&|<>]"
 VECTOR = ("x_symbols", "x_upper", "x_length", "x_dup", "x_repeat")
 #: Standard deviations (thousandths) that are added to each dimension's own: less than that is nobody's fault.
 FLOOR = {"x_symbols": 60.0, "x_upper": 40.0, "x_length": 60.0, "x_dup": 150.0, "x_repeat": 100.0}
@@ -42,14 +42,13 @@ _BINS = 32
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_upper; a null text has none of anything."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " +"), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    words = F.array_remove(F.split(text, SPACES + "+"), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACES.replace("[", "[^")))
     out = docs.withColumns(
         {
             "__w": words,
             "__l": lines,
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
         }
     )
@@ -61,6 +60,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumns(
         {
             "n_words": F.size("__w").cast("long"),
+            "word_chars": F.length(F.array_join("__w", "")).cast("long"),
             "n_lines": F.size("__l").cast("long"),
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
             "n_repeat_words": F.expr("coalesce(aggregate(transform(__p, (p, k) -> least(3, coalesce(get(__p, k + 1), p + 3) - p)), 0L, (a, x) -> a + x), 0L)"),
@@ -90,16 +90,15 @@ def _bin(c: Column) -> Column:
 
 
 def _whitened(rows: DataFrame, x: tuple[str, ...]) -> DataFrame:
-    """rows with d2, one z at a time so that no expression grows with the square of the dimensions."""
+    """rows with d2. A z refers to those before it, so no expression grows with the square of the dimensions."""
+    z = []
     for i, name in enumerate(x):
         r = F.col(name) - F.col(f"m_{i}")
         for j in range(i):
             r = r - F.col(f"l_{i}_{j}") * F.col(f"z_{j}")
-        rows = rows.withColumn(f"z_{i}", r / F.col(f"l_{i}_{i}"))
-    d2 = F.lit(0.0)
-    for i in range(len(x)):
-        d2 = d2 + F.col(f"z_{i}") * F.col(f"z_{i}")
-    return rows.withColumn("d2", d2)
+        z.append((r / F.col(f"l_{i}_{i}")).alias(f"z_{i}"))
+    d2 = reduce(lambda a, c: a + c, (F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(x))))
+    return rows.select("*", *z, d2.alias("d2"))
 
 
 def _names(p: int) -> list[str]:
@@ -108,14 +107,15 @@ def _names(p: int) -> list[str]:
 
 def _factor(cov: DataFrame, x: tuple[str, ...]) -> DataFrame:
     """(grp, start, m_i, l_i_j, logdet) of (grp, start, m_i, s_i_j), with the floors added to the diagonal."""
+    factor = []
     for i in range(len(x)):
         for j in range(i + 1):
             r = F.col(f"s_{i}_{j}") + (F.lit(FLOOR[x[i]] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 r = r - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            cov = cov.withColumn(f"l_{i}_{j}", F.sqrt(r) if i == j else r / F.col(f"l_{j}_{j}"))
+            factor.append((F.sqrt(r) if i == j else r / F.col(f"l_{j}_{j}")).alias(f"l_{i}_{j}"))
     logdet = reduce(lambda a, c: a + c, (2 * F.log(f"l_{i}_{i}") for i in range(len(x))))
-    return cov.select("grp", "start", *_names(len(x)), logdet.alias("logdet"))
+    return cov.select("grp", "start", *(f"m_{i}" for i in range(len(x))), *factor, logdet.alias("logdet"))
 
 
 def _sums(x: tuple[str, ...]) -> list[Column]:
