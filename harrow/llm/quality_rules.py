@@ -230,6 +230,6 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps; nulls, ties, repeats and empty tables as there. Each text is measured once."""
     side = [F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text")]
-    rows = cut(_measured(docs.select(F.struct(*docs.columns).alias("__row"), *side)).select("__row", "__lang", "__source", "base_failed", *VECTOR)).where("not base_failed")  # above the checkpoint: below it, a text would be measured anew for every use of a statistic
+    rows = cut(_measured(docs.select(F.struct(*docs.columns).alias("__row"), *side))).where("not base_failed")  # above the checkpoint: below it, a text would be measured anew for every use of a statistic
     fitted, few = _fitted(rows, least_rows)
     return _whitened(_with_groups(rows, fitted, ["__lang", "__source"], few), VECTOR).where(_verdict()).select("__row.*")
