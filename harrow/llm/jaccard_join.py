@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm import textvec
 from harrow.llm.common import BITMAP_WORDS, chunks, cut, might_hold, partitions, without
-from harrow.llm.components import components
+from harrow.llm.components import components, least_reached
 
 #: Differences that a group of ranges may hold, and ranges of a group.
 K2, N2 = 1, 3
@@ -176,19 +176,9 @@ def stars(rows: DataFrame, parts: int) -> DataFrame:
         first[1:] = sig[1:] != sig[:-1]
         hub = doc[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
         other = doc != hub
-        ids, ends = np.unique(np.stack([hub[other], doc[other]]), return_inverse=True)
-        x, y = ends.reshape(2, -1)
-        label = np.arange(len(ids))
-        while True:
-            before = label.copy()
-            low = np.minimum(label[x], label[y])
-            np.minimum.at(label, x, low)
-            np.minimum.at(label, y, low)
-            label = label[label]
-            if (label == before).all():
-                break
-        b = np.flatnonzero(label != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[label[b]]), pa.array(ids[b])], names=["a", "b"])
+        node, least = least_reached(hub[other], doc[other])
+        b = node != least
+        yield pa.RecordBatch.from_arrays([pa.array(least[b]), pa.array(node[b])], names=["a", "b"])
 
     forest = rows.repartition(parts, "sig").mapInArrow(run, "a long, b long").distinct()
     named = forest.withColumn("m", F.min("a").over(Window.partitionBy("b")))
@@ -338,8 +328,8 @@ def _common(bodies: DataFrame, p: Params) -> np.ndarray:
 
     words = bodies.mapInArrow(run, "bit long").groupBy(F.shiftrightunsigned("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("m"))
     out = np.zeros(BITMAP_WORDS, np.int64)
-    for r in words.collect():
-        out[r.w] = r.m
+    got = words.toArrow()
+    out[got.column("w").to_numpy()] = got.column("m").to_numpy()
     return out.view(np.uint64)
 
 

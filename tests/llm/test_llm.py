@@ -457,8 +457,10 @@ def test_signatures_lose_no_pair():
 
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 60), (60, 60), (70, None)], "a long, b long")
-    got = {r.node: r.component for r in components.components(links).collect()}
-    assert got == {k: 1 for k in range(1, 41)} | {50: 50, 60: 50}
+    for most in (components.LOCAL, 3):
+        got = {r.node: r.component for r in components.components(links, local=most).collect()}
+        assert got == {k: 1 for k in range(1, 41)} | {50: 50, 60: 50}
+        assert components.components(links.limit(0), local=most).count() == 0
 
 
 # web archives
