@@ -7,7 +7,7 @@ leftmost with the least hash names, modulo a step, the start of a 30-byte gram (
    are found by hash ranges;
 2. around these anchors only, texts give the suffixes whose first LENGTH bytes belong to the anchor, and the suffixes of one
    range of anchors are sorted by bucket-pointer refinement up to that depth: buckets of equal 8-byte grams are refined by
-   sorting on the bucket identifiers of the suffixes 8, 16, ... bytes later, and only buckets of two or more go on;
+   sorting on the bucket pointers of the suffixes 8, 16 and 18 bytes later, each pass on what the one before has updated;
 3. in a final bucket the document with the smallest id keeps its bytes, and the others' are marked.
 
 Equal texts are one text from the start. A task sends an anchor, and a suffix range with its surroundings, once however many of its texts
@@ -36,8 +36,10 @@ BEFORE, AFTER = STEP - 1, LENGTH
 WIDTH = BEFORE + AFTER
 #: Anchors that a task gathers before it sends them.
 FLUSH = 1_500_000
-#: Ranges of anchors that a task sorts one after the other.
-RANGES = 8
+#: Bytes of text for which there is a range of anchors to list, and one to sort. So many ranges, and rows, come from the data alone.
+LISTED, SORTED = 8 << 20, 2 << 20
+#: Parts of which each copy of a text joins one.
+SALTS = 16
 KEY = 16
 
 
@@ -300,26 +302,32 @@ def _suffixes(held: DataFrame, n: int) -> DataFrame:
 def refine(code: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
     """Bucket-pointer refinement of the suffixes that begin at `start`, up to `depth` bytes: bucket numbers, -1 where a bucket has one suffix.
 
-    `code` holds the identifiers of the initial buckets, 8-byte grams, of all suffixes. A bucket is refined by sorting its suffixes on the
-    identifiers of the suffixes 8 bytes further on, and the buckets that result are what the next offset refines; a bucket
-    of one needs no more. The last offset overlaps the one before, so that depth is met exactly.
+    `code` holds the 8-byte grams of all places, and is looked at once, for the initial buckets. From then on a suffix has a pointer,
+    the place of its bucket's first one in sorted order. Suffixes that agree on n bytes are refined by sorting on the pointers of
+    the suffixes n bytes later; the new pointers are written back, and the next pass, at twice the offset, sorts on those. The last
+    offset is such that depth is met exactly. Places that later passes look up are refined along with `start`.
     """
-    bucket = np.full(len(start), -1)
-    live = np.arange(len(start))
-    group = np.zeros(len(start), np.int64)
-    for d in [*range(0, depth - GRAM, GRAM), depth - GRAM]:
-        key = code[start[live] + d]
-        order = np.lexsort((key, group))
-        live, key, group = live[order], key[order], group[order]
-        new = np.ones(len(live), bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new) - 1
-        alone = new & np.append(new[1:], True)
-        live, group = live[~alone], group[~alone]
-        if not len(live):
-            return bucket
-    bucket[live] = group
-    return bucket
+    lengths = [GRAM]
+    while lengths[-1] < depth:
+        lengths.append(min(depth, 2 * lengths[-1]))
+    needed = [np.unique(start)]
+    for short, long in zip(lengths[-2::-1], lengths[:0:-1], strict=True):
+        needed.append(np.union1d(needed[-1], needed[-1] + long - short))
+    pointer = np.zeros(len(code), np.int64)
+    live, key = needed.pop(), None
+    for short, long in zip([0, *lengths], lengths, strict=False):
+        if short:
+            live = needed.pop()
+            key = pointer[live] * len(code) + pointer[live + long - short]
+        else:
+            key = code[live]
+        order = np.argsort(key, kind="stable")
+        at, key = live[order], key[order]
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        pointer[at] = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    own = pointer[start]
+    return np.where(np.bincount(own, minlength=1)[own] > 1, own, -1) if len(own) else own
 
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -422,20 +430,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     and are judged on the input. A null text is an empty one. A row with a null id is left whole and removes nothing;
     rows that share an id remove nothing of one another. Other columns are left behind.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("sha", F.sha2("text", 256)).withColumn("digest", F.substring("sha", 1, 2 * KEY))
     own = cut(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "sha", "digest"))
     long_rows = rows.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull())
-    reps = own.where((F.col("n_bytes") >= LENGTH) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = cut(reps)
-    answers = _shared(_listing(long_rows.select("text"), n), n)
-    shared = cut(answers.groupBy("digest").agg(F.collect_list("hashes").alias("hashes")).join(reps, "digest"))
-    # texts travel compressed, and once: both joins below read one exchange
-    texts = might_hold(long_rows.select("id", "digest", "text"), "digest", shared.select("digest")).mapInArrow(_packed, "id long, digest string, text binary")
-    held = texts.join(shared, "digest").where("id = rep").select("digest", "rep", "text", "hashes")
-    marks = _marks(_suffixes(held, n * RANGES), n).groupBy("digest").agg(F.collect_list("starts").alias("starts"))
+    reps = cut(own.where((F.col("n_bytes") >= LENGTH) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")))
+    size = reps.agg(F.sum("n_bytes")).first()[0] or 0
+    answers = _shared(_listing(long_rows.select("text"), -(-size // LISTED) or 1), n)
+    shared = cut(answers.groupBy("digest").agg(F.collect_list("hashes").alias("hashes")).join(reps.select("digest", F.col("rep").alias("id")), "digest"))
+    # the first text of each class travels, compressed, and once: both joins below read one exchange, by id, which copies don't share
+    texts = might_hold(long_rows.select("id", "digest", "text"), "id", shared.select("id")).mapInArrow(_packed, "id long, digest string, text binary")
+    held = texts.join(shared, ["id", "digest"]).select("digest", F.col("id").alias("rep"), "text", "hashes")
+    marks = _marks(_suffixes(held, -(-size // SORTED) or 1), n).groupBy("digest").agg(F.collect_list("starts").alias("starts"))
+    marks = marks.join(reps.select("digest", F.col("rep").alias("id")), "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
@@ -451,13 +459,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 out.append((digest, sum(e - s for s, e in spans), hashlib.sha256(left).hexdigest(), [{"start": s, "end": e} for s, e in spans]))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), kind))], names=["digest", "n_removed", "kept", "spans"])
 
-    touched = texts.join(marks, "digest").join(reps, "digest").where("id = rep").select("digest", "text", "starts")
+    touched = texts.join(marks, ["id", "digest"]).select("digest", "text", "starts")
     changed = touched.mapInArrow(run, "digest string, n_removed long, kept string, spans array<struct<start:long,end:long>>").dropDuplicates(["digest"])
-    out = own.join(reps, "digest", "left").join(changed, "digest", "left")
+    # copies join one of SALTS parts of their class; texts that are too short have no class and are dealt out by id
+    salt = F.when(F.col("n_bytes") >= LENGTH, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.xxhash64("id"))
+    many = reps.where("copies > 1").select("digest", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    first = changed.join(reps.select("digest", F.col("rep").alias("first")), "digest").select("first", F.col("digest").alias("of"), "n_removed", "kept", "spans")
+    out = own.withColumn("salt", salt).join(many, ["digest", "salt"], "left")
+    out = out.join(first, (F.col("id") == F.col("first")) & (F.col("digest") == F.col("of")), "left")
     copy = F.col("id") > F.col("rep")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:long,end:long>>")
-    mine = (F.col("id") == F.col("rep")) & F.col("kept").isNotNull()
+    mine = F.col("kept").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
         "n_bytes",

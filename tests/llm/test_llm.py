@@ -114,6 +114,34 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.removed(docs).where("doc_id = 8").first().text == ""
 
 
+def test_rows_follow_the_data_not_the_partitions(spark):
+    docs = frame(spark, [f"{rng_text(k, 60)} {rng_text(5, 40)}" for k in range(40)]).select("text").coalesce(1)
+    assert [suffix_dedup._listing(docs.repartition(1), k).count() for k in (1, 1)] == [2, 2]
+    assert suffix_dedup._listing(docs, 3).count() <= 6
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    plans = []
+    for k in ("2", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", k)
+        plans.append(sorted(tuple(r) for r in suffix_dedup.repeats(frame(spark, [rng_text(5, 40)] * 3 + [rng_text(6, 40) + rng_text(5, 30)])).drop("spans").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plans[0] == plans[1]
+
+
+@pytest.mark.parametrize("depth", [9, 16, 20, 50, 64])
+def test_refinement_by_updated_pointers(depth):
+    """Equal to grouping by the strings themselves; grams are read for the first buckets only, all else comes from pointers."""
+    r = np.random.default_rng(depth)
+    for letters in (1, 2, 3):
+        b = np.concatenate([r.integers(97, 97 + letters, 150), np.tile(r.integers(97, 99, 13), 20)]).astype(np.uint8)
+        start = r.permutation(len(b) - depth + 1)
+        got = suffix_dedup.refine(suffix_dedup.grams(b), start, depth)
+        strings = [b[p : p + depth].tobytes() for p in start.tolist()]
+        often = Counter(strings)
+        assert all((g >= 0) == (often[x] > 1) for g, x in zip(got.tolist(), strings, strict=True))
+        assert len({(g, x) for g, x in zip(got.tolist(), strings, strict=True) if g >= 0}) == len({g for g in got.tolist() if g >= 0}) == sum(v > 1 for v in often.values())
+    assert len(suffix_dedup.refine(np.zeros(0, np.uint64), np.zeros(0, np.int64), depth)) == 0
+
+
 def test_refinement_groups_equal_suffixes():
     b = np.frombuffer((b"abcdefghij" * 20)[:150] + b"x" * 60, np.uint8)
     start = np.arange(len(b) - 49)
