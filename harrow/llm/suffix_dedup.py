@@ -37,10 +37,14 @@ WIDTH = BEFORE + AFTER
 #: Anchors that a task gathers before it sends them.
 FLUSH = 1_500_000
 #: Bytes of text for which there is a range of anchors to list, and one to sort. So many ranges, and rows, come from the data alone.
-LISTED, SORTED = 8 << 20, 2 << 20
+LISTED, SORTED = 32 << 20, 8 << 20
+#: Parts of a range that a task sorts one after the other.
+SUB = 4
 #: Parts of which each copy of a text joins one.
 SALTS = 16
 KEY = 16
+#: Bytes of a digest that listings carry; should two texts share them, both get a needless look.
+SHORT = 8
 
 
 def grams(buf: np.ndarray) -> np.ndarray:
@@ -139,7 +143,7 @@ def _listing(docs: DataFrame, n: int) -> DataFrame:
 
         def put(p: int, known: bool, d: np.ndarray, x: np.ndarray) -> None:
             x, which, count = _by_doc(d, x)
-            out.append((p, known, b"".join([keys[k] for k in which]), count.astype("<i4").tobytes(), _low(x).tobytes() if known else _to6(x)))
+            out.append((p, known, b"".join([keys[k][:SHORT] for k in which]), np.minimum(count, 65535).astype("<u2").tobytes() + count[count >= 65535].astype("<i4").tobytes(), _low(x).tobytes() if known else _to6(x)))
 
         part = _range(h, n)  # grows with h
         cuts = np.searchsorted(part, np.arange(n + 1))
@@ -187,8 +191,9 @@ def _shared(listing: DataFrame, n: int) -> DataFrame:
         doc, h = [], []
         for batch in batches:
             for r in batch.to_pylist():
-                keys = [r["digests"][i : i + KEY] for i in range(0, len(r["digests"]), KEY)]
-                count = np.frombuffer(r["counts"], "<i4")
+                keys = [r["digests"][i : i + SHORT] for i in range(0, len(r["digests"]), SHORT)]
+                count = np.frombuffer(r["counts"][: 2 * len(keys)], "<u2").astype(np.int64)
+                count[count == 65535] = np.frombuffer(r["counts"][2 * len(keys) :], "<i4")
                 if r["known"]:
                     yield answers(keys, np.repeat(np.arange(len(keys)), count), np.frombuffer(r["hashes"], "<u4"))
                 else:
@@ -214,7 +219,7 @@ def _shared(listing: DataFrame, n: int) -> DataFrame:
     return listing.repartition(n, "p").mapInArrow(run, "digest string, hashes binary")
 
 
-_SUFFIXES = pa.schema([("p", pa.int32()), ("known", pa.bool_()), ("digests", pa.binary()), ("reps", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("windows", pa.binary()), ("around", pa.binary())])
+_SUFFIXES = pa.schema([("p", pa.int32()), ("known", pa.bool_()), ("digests", pa.binary()), ("reps", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("windows", pa.binary()), ("cuts", pa.binary()), ("around", pa.list_(pa.binary()))])
 
 
 def _suffixes(held: DataFrame, n: int) -> DataFrame:
@@ -241,14 +246,15 @@ def _suffixes(held: DataFrame, n: int) -> DataFrame:
             row, o = _bits(windows[answered])
             of, run = _runs(doc[answered][row], place[answered][row] - o)
             which, count = np.unique(of, return_counts=True)
-            out.append((int(h[0] % np.uint64(n)), True, b"".join(keys[k] for k in which), b"", count.astype("<i4").tobytes(), run.tobytes(), b"", b""))
+            out.append((int(h[0] % np.uint64(n)), True, b"".join(keys[k] for k in which), b"", count.astype("<i4").tobytes(), run.tobytes(), b"", b"", []))
         for p in range(n):
             pick = np.arange(cuts[p], cuts[p + 1])
             pick = pick[~answered[pick]]
             if len(pick):
                 which, local = np.unique(doc[pick], return_inverse=True)
-                body = zip_.compress(around[pick].tobytes())
-                out.append((p, False, b"".join(keys[k] for k in which), rep[which].tobytes(), local.astype("<i4").tobytes(), place[pick].astype("<u4").tobytes(), windows[pick].astype("<u4").tobytes(), body))
+                ends = np.searchsorted(_range(h[pick], n * SUB), p * SUB + np.arange(SUB + 1))
+                bodies = [zip_.compress(around[pick[x:y]].tobytes()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                out.append((p, False, b"".join(keys[k] for k in which), rep[which].tobytes(), local.astype("<i4").tobytes(), place[pick].astype("<u4").tobytes(), windows[pick].astype("<u4").tobytes(), ends.astype("<u4").tobytes(), bodies))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SUFFIXES.types, strict=True)], schema=_SUFFIXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +302,7 @@ def _suffixes(held: DataFrame, n: int) -> DataFrame:
         if size:
             yield rows(keys, reps, parts)
 
-    return held.mapInArrow(run, "p int, known boolean, digests binary, reps binary, doc binary, place binary, windows binary, around binary")
+    return held.mapInArrow(run, "p int, known boolean, digests binary, reps binary, doc binary, place binary, windows binary, cuts binary, around array<binary>")
 
 
 def refine(code: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
@@ -310,18 +316,17 @@ def refine(code: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
     lengths = [GRAM]
     while lengths[-1] < depth:
         lengths.append(min(depth, 2 * lengths[-1]))
-    needed = [np.unique(start)]
+    needed = [np.zeros(len(code), bool)]
+    needed[0][start] = True
     for short, long in zip(lengths[-2::-1], lengths[:0:-1], strict=True):
-        needed.append(np.union1d(needed[-1], needed[-1] + long - short))
+        more = needed[-1].copy()
+        more[long - short :] |= needed[-1][: len(code) - (long - short)]
+        needed.append(more)
     pointer = np.zeros(len(code), np.int64)
-    live, key = needed.pop(), None
     for short, long in zip([0, *lengths], lengths, strict=False):
-        if short:
-            live = needed.pop()
-            key = pointer[live] * len(code) + pointer[live + long - short]
-        else:
-            key = code[live]
-        order = np.argsort(key, kind="stable")
+        live = np.flatnonzero(needed.pop())
+        key = pointer[live] * len(code) + pointer[live + long - short] if short else code[live]
+        order = np.argsort(key)
         at, key = live[order], key[order]
         new = np.ones(len(at), bool)
         new[1:] = key[1:] != key[:-1]
@@ -359,21 +364,28 @@ def _marks(suffixes: DataFrame, n: int) -> DataFrame:
                     yield answers(keys, [runs[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
                 else:
                     held.setdefault(r["p"], []).append(r | {"keys": keys})
-        for p in sorted(held):  # a range at a time; the others wait compressed
-            yield from sort(held.pop(p))
+        for p in sorted(held):  # a part of a range at a time; the others wait compressed
+            rows = held.pop(p)
+            for k in range(SUB):
+                yield from sort(rows, k)
 
-    def sort(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    def sort(rows: list[dict], k: int) -> Iterator[pa.RecordBatch]:
         names: dict[bytes, int] = {}
         reps: list[int] = []
         parts: list[tuple] = []
         for r in rows:
-            for k, rep in zip(r["keys"], np.frombuffer(r["reps"], np.int64).tolist(), strict=True):
-                if k not in names:
-                    names[k] = len(names)
+            x, y = np.frombuffer(r["cuts"], "<u4")[k : k + 2].tolist()
+            if x == y:
+                continue
+            for name, rep in zip(r["keys"], np.frombuffer(r["reps"], np.int64).tolist(), strict=True):
+                if name not in names:
+                    names[name] = len(names)
                     reps.append(rep)
-            own = np.array([names[k] for k in r["keys"]], np.int32)
-            around = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["around"]), np.uint8)
-            parts.append((own[np.frombuffer(r["doc"], "<i4")], np.frombuffer(r["place"], "<u4").astype(np.int64), np.frombuffer(r["windows"], "<u4"), around))
+            own = np.array([names[name] for name in r["keys"]], np.int32)
+            around = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["around"][k]), np.uint8)
+            parts.append((own[np.frombuffer(r["doc"], "<i4")[x:y]], np.frombuffer(r["place"], "<u4")[x:y].astype(np.int64), np.frombuffer(r["windows"], "<u4")[x:y], around))
+        if not parts:
+            return
         doc, place, windows, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         row, o = _bits(windows)
@@ -438,7 +450,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = cut(own.where((F.col("n_bytes") >= LENGTH) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")))
     size = reps.agg(F.sum("n_bytes")).first()[0] or 0
     answers = _shared(_listing(long_rows.select("text"), -(-size // LISTED) or 1), n)
-    shared = cut(answers.groupBy("digest").agg(F.collect_list("hashes").alias("hashes")).join(reps.select("digest", F.col("rep").alias("id")), "digest"))
+    shared = cut(answers.groupBy("digest").agg(F.collect_list("hashes").alias("hashes")).withColumnRenamed("digest", "short").join(reps.select("digest", F.substring("digest", 1, 2 * SHORT).alias("short"), F.col("rep").alias("id")), "short").drop("short"))
     # the first text of each class travels, compressed, and once: both joins below read one exchange, by id, which copies don't share
     texts = might_hold(long_rows.select("id", "digest", "text"), "id", shared.select("id")).mapInArrow(_packed, "id long, digest string, text binary")
     held = texts.join(shared, ["id", "digest"]).select("digest", F.col("id").alias("rep"), "text", "hashes")

@@ -114,6 +114,12 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.removed(docs).where("doc_id = 8").first().text == ""
 
 
+def test_suffix_dedup_by_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LISTED", 1 << 10)
+    monkeypatch.setattr(suffix_dedup, "SORTED", 1 << 10)
+    test_suffix_dedup(spark)
+
+
 def test_rows_follow_the_data_not_the_partitions(spark):
     docs = frame(spark, [f"{rng_text(k, 60)} {rng_text(5, 40)}" for k in range(40)]).select("text").coalesce(1)
     assert [suffix_dedup._listing(docs.repartition(1), k).count() for k in (1, 1)] == [2, 2]
