@@ -10,15 +10,20 @@ from harrow import vocab
 _MAIL = re.compile(r"[^@\s]+@[^@\s]+\.[^@\s]+")
 
 
+RULES = ("allow_citizenship_required", "allow_no_sponsorship")
+
+
 @dataclass(frozen=True)
 class Config:
     categories: list[str]
     countries: list[str]
     keywords: list[str] | None = None
-    #: country -> {"requireCitizenship": bool, "requireSponsorship": bool}: whether postings with that demand are rejected
+    #: country -> {"allow_citizenship_required": bool, "allow_no_sponsorship": bool}; only an explicit false rejects
     rules: dict[str, dict[str, bool]] = field(default_factory=dict)
     ai: dict = field(default_factory=lambda: {"enabled": False})
-    mail: dict | None = None
+    #: host, port, user and email of the sender; email of the receiver
+    sender: dict | None = None
+    receiver: dict | None = None
 
     @property
     def allowed(self) -> list[str]:
@@ -36,21 +41,23 @@ class Config:
             wrong.append("target.countries is required")
             countries = []
         wrong += [f"unknown country {c!r}" for c in countries if c not in vocab.COUNTRIES]
-        rules = data.get("filter") or {}
+        rules = target.get("filter") or {}
+        wrong += [f"target.filter.{c}.{k} is neither true nor false" for c, r in rules.items() for k in RULES if not isinstance(r.get(k, False), bool)]
         wrong += [f'"{c}" filter requires "{c}" to exist in target.countries' for c in rules if c not in countries]
-        mail = data.get("email")
-        if mail is not None:
-            for k in ("sender", "receiver"):
-                if k in mail and not _MAIL.fullmatch(str(mail[k])):
-                    wrong.append(f"email.{k} is no address")
-            if "port" in mail and not (isinstance(mail["port"], int) and 0 < mail["port"] < 65536):
-                wrong.append("email.port is out of range")
+        sender, receiver = data.get("sender"), data.get("receiver")
+        for name, part in (("sender", sender), ("receiver", receiver)):
+            if part is not None and not _MAIL.fullmatch(str(part.get("email"))):
+                wrong.append(f"{name}.email is no address")
+        if sender is not None:
+            wrong += [f"sender.{k} cannot be empty" for k in ("host", "user") if not sender.get(k)]
+            if not (isinstance(sender.get("port"), int) and 0 < sender["port"] < 65536):
+                wrong.append("sender.port is out of range")
         ai = data.get("ai", {"enabled": False})
         if ai.get("enabled") and not (ai.get("provider") in vocab.MODEL_PRICES and ai.get("model")):
             wrong.append("ai needs a provider and a model")
         if wrong:
             raise ValueError("; ".join(wrong))
-        return Config(categories, countries, target.get("keywords"), rules, ai, mail)
+        return Config(categories, countries, target.get("keywords"), rules, ai, sender, receiver)
 
 
 def _section(body: str, label: str) -> list[str]:
@@ -62,15 +69,30 @@ def of_form(body: str) -> dict:
     """The configuration that a filled form asks for. The same rules hold for every country; blank keywords are no keywords."""
     ticked = lambda label: [m[1].strip() for x in _section(body, label) if (m := re.match(r"- \[[xX]\] (.*)", x))]
     scalar = lambda label: next(iter(_section(body, label)), None)
-    categories, countries = [c.lower() for c in ticked("Job categories")], ticked("Countries") or _section(body, "Countries")
-    if not categories or not countries:
-        raise ValueError("at least one category and one country")
-    flag = lambda label: {"yes": True, "true": True, "no": False, "false": False}[(scalar(label) or "no").lower()]
-    rule = {"requireCitizenship": flag("Require citizenship"), "requireSponsorship": flag("Require sponsorship")}
+    intern, full_time, countries = ticked("Internship targets"), ticked("Full-time targets"), ticked("Countries")
+    if not intern and not full_time:
+        raise ValueError("at least one internship or full-time target")
+    if not countries:
+        raise ValueError("at least one country")
+
+    def required(label: str) -> str:
+        if (got := scalar(label)) is None:
+            raise ValueError(f"{label} is required")
+        return got
+
+    def flag(label: str) -> bool:
+        got = required(label).lower()
+        if got not in ("yes", "true", "no", "false"):
+            raise ValueError(f"{label}: {got!r} is neither yes nor no")
+        return got in ("yes", "true")
+
+    rule = {"allow_citizenship_required": flag("Allow citizenship-required jobs?"), "allow_no_sponsorship": flag("Allow jobs without sponsorship?")}
+    kinds = {k: v for k, v in (("intern", intern), ("full-time", full_time)) if v}
     return {
-        "target": {"intern": [c for c in categories if "intern" in c], "full-time": [c for c in categories if "intern" not in c], "countries": countries, "keywords": _section(body, "Keywords")},
-        "filter": {c: dict(rule) for c in countries},
-        "ai": {"enabled": bool(ticked("AI"))},
+        "target": kinds | {"countries": countries, "filter": {c: dict(rule) for c in countries}, "keywords": _section(body, "Keywords")},
+        "ai": {"enabled": bool(ticked("AI enabled")), "provider": required("AI provider"), "model": required("AI model")},
+        "sender": {"host": required("SMTP host"), "port": int(required("SMTP port")), "user": required("SMTP user"), "email": required("Sender email")},
+        "receiver": {"email": required("Receiver email")},
     }
 
 
@@ -93,8 +115,7 @@ def check(config: Config) -> list[str]:
     out = []
     if config.ai.get("enabled") and not config.ai.get("apiKey"):
         out.append("no key for the model provider")
-    if config.mail is not None:
-        out += [f"email.{k} is missing" for k in ("host", "port", "sender", "receiver") if not config.mail.get(k)]
+    out += [f"{k} is missing" for k in ("sender", "receiver") if not getattr(config, k)]
     if not config.categories:
         out.append("no target category")
     return out

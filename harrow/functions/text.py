@@ -36,7 +36,7 @@ def season_label(c: Column) -> Column:
     low = F.lower(clean_text(c))
     year, name = F.regexp_extract(low, r"(\d{4})", 1), F.regexp_extract(low, r"(summer|fall|spring|winter)", 1)
     whole = low.rlike(r"\A(?:(?:summer|fall|spring|winter) \d{4}|\d{4} (?:summer|fall|spring|winter))\z")
-    return F.when(whole, F.concat_ws(" ", year, F.initcap(name))).when(low == "unsure", "Unsure").when(low == "entry level", "Entry Level").otherwise(c)
+    return F.when(whole, F.concat_ws(" ", year, F.initcap(name))).when(low == "unsure", "unsure").when(low == "entry level", "Entry Level").otherwise(c)
 
 
 def safe_filename(c: Column) -> Column:
@@ -101,7 +101,7 @@ def location_label(jd_location: Column, location: Column) -> Column:
 
 def card_location(c: Column) -> Column:
     """'US-NC-City' forms, 'Remote', or 'Unsure'."""
-    code = F.regexp_extract(c, r"\b([A-Z]{2}-[A-Z]{2}-[A-Za-z .'-]*[A-Za-z])", 1)
+    code = js_trim(F.regexp_extract(c, r"\b([A-Z]{2}-[A-Z]{2}-[A-Za-z0-9 .,'/-]+)", 1))
     return F.when(code != "", code).when(c.rlike(r"(?i)\bremote\b"), "Remote").otherwise("Unsure")
 
 

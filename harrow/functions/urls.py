@@ -154,8 +154,9 @@ def custom_key(p: Column) -> Column:
     page = F.concat(p["origin"], p["path"])
     request = _group(F.get(F.filter(p["pairs"], lambda x: x["k"] == "jobReq"), F.lit(0))["v"], r"(?i)(REQ[-_]?\d+)")
     number = F.get(F.filter(F.transform(p["pairs"], lambda x: F.regexp_extract(x["v"], r"(\d{4,})", 1)), lambda x: x != ""), F.lit(0))
+    query = F.array_join(F.transform(p["pairs"], lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
     return F.when(known.isNotNull(), F.concat(known, F.lit(":"), F.coalesce(last_number(p["path"]), page))).otherwise(
-        F.concat(F.lit("custom:"), F.coalesce(request, number, F.concat(page, F.lit("?"), p["query"])))
+        F.concat(F.lit("custom:"), F.coalesce(request, number, F.concat(page, F.lit("?"), query)))
     )
 
 

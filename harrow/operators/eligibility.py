@@ -12,10 +12,11 @@ def reason(country: Column, category: Column, citizenship: Column, sponsorship:
     """Why a posting is rejected, the first reason that holds; null if it is eligible."""
     allowed = config.allowed
     out = F.lit(None).cast("string")
-    rule = lambda name: [c for c, r in config.rules.items() if not r.get(name, False)]
-    out = F.when(country.isin(rule("requireSponsorship")) & sponsorship.eqNullSafe(F.lit(False)), "no sponsorship").otherwise(out)
-    out = F.when(country.isin(rule("requireCitizenship")) & citizenship.eqNullSafe(F.lit(True)), "citizenship required").otherwise(out)
-    out = F.when(~F.coalesce(category.isin(config.categories), F.lit(False)), "category").otherwise(out)
+    rule = lambda name: [c for c, r in config.rules.items() if r.get(name) is False]
+    out = F.when(country.isin(rule("allow_no_sponsorship")) & sponsorship.eqNullSafe(F.lit(False)), "no sponsorship").otherwise(out)
+    out = F.when(country.isin(rule("allow_citizenship_required")) & citizenship.eqNullSafe(F.lit(True)), "citizenship required").otherwise(out)
+    named = F.coalesce(category, F.lit("")) != ""
+    out = F.when(named & ~F.coalesce(category.isin(config.categories), F.lit(False)), "category").otherwise(out)
     return F.when(~F.coalesce(country.isin(allowed), F.lit(False)), "country").otherwise(out) if allowed else out
 
 

@@ -14,7 +14,7 @@ from harrow.operators import changes, companies, dedup, eligibility, ranking
 from harrow.sources import lists
 
 AS_OF = "2024-01-30 12:00:00"
-CONFIG = Config(["entry level", "mid level"], ["USA", "Canada"], rules={"USA": {"requireCitizenship": False, "requireSponsorship": False}})
+CONFIG = Config(["entry level", "mid level"], ["USA", "Canada"], rules={"USA": {"allow_citizenship_required": False, "allow_no_sponsorship": False}})
 WORDS = titles.Levels(domain=["steel", "copper", "red", "small", "dark-blue", "green"], engineering=["widget", "gear", "bolt", "nut", "plate", "part"], non_tech=["large"])
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

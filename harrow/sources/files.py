@@ -14,6 +14,10 @@ from harrow import schemas
 from harrow.config import Config, sources
 
 
+#: Folders of documents.
+BUCKETS = 256
+
+
 def load_urls(spark: SparkSession, path: str) -> DataFrame:
     """(url) of a JSON array of strings, each once."""
     whole = spark.read.text(path, wholetext=True)
@@ -38,7 +42,14 @@ def load_companies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_document(spark: SparkSession, folder: str, ident: int) -> DataFrame:
-    return spark.read.text(f"{folder}/{int(ident)}.txt", wholetext=True)
+    """(kind, id, text) of a document that save_documents wrote; one bucket is read."""
+    docs = spark.read.parquet(folder)
+    return docs.where((F.col("bucket") == int(ident) % BUCKETS) & (F.col("id") == int(ident))).select("kind", "id", "text")
+
+
+def load_document_file(spark: SparkSession, folder: str, ident: int) -> DataFrame:
+    """A document that lies in a file of its own."""
+    return spark.read.text(f"{folder}/{int(ident)}.txt", wholetext=True).withColumnRenamed("value", "text")
 
 
 def load_payload(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -84,8 +95,13 @@ def submitted_jobs(issues: DataFrame, body: str = "body") -> DataFrame:
 
 
 def save_urls(urls: DataFrame, path: str) -> None:
-    """A sorted JSON array. The set is sorted and written by tasks; one file, so one task writes it."""
-    urls.select("url").distinct().orderBy("url").coalesce(1).write.mode("overwrite").json(path)
+    """A sorted JSON array, a URL a line, which load_urls reads. The set is sorted by tasks; one file, so one task writes it. Nulls are left out."""
+    each = urls.select("url").where("url is not null").distinct()
+    first = each.agg(F.min("url")).first()[0]
+    text = F.expr("substring(to_json(array(url)), 2, length(to_json(array(url))) - 2)")
+    lines = each.orderBy("url").select(F.concat(F.when(F.col("url") == first, "[").otherwise(","), text).alias("value"))
+    end = each.sparkSession.range(1, numPartitions=1).select(F.lit("[]" if first is None else "]").alias("value"))
+    lines.union(end).coalesce(1).write.mode("overwrite").text(path)
 
 
 def append_jobs(jobs: DataFrame, path: str) -> None:
@@ -93,9 +109,10 @@ def append_jobs(jobs: DataFrame, path: str) -> None:
 
 
 def save_documents(docs: DataFrame, path: str) -> None:
-    """(id, text) in folders by id, JSON and plain text apart."""
+    """(id, text), whether JSON or plain text, in BUCKETS folders by id, which load_document reads."""
     kind = F.when(F.try_parse_json("text").isNotNull(), "json").otherwise("txt")
-    docs.select(kind.alias("kind"), "id", "text").write.mode("append").partitionBy("kind", "id").text(path)
+    rows = docs.select(F.pmod("id", F.lit(BUCKETS)).cast("int").alias("bucket"), kind.alias("kind"), F.col("id").cast("long").alias("id"), "text")
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def save_companies(companies: DataFrame, path: str) -> None:
@@ -106,6 +123,12 @@ def append_errors(errors: DataFrame, path: str) -> None:
     errors.write.mode("append").json(path)
 
 
+def save_config(config: dict, path: str) -> None:
+    """A checked configuration as JSON; a wrong one raises and leaves the file as it is."""
+    Config.of(config)
+    save_text(json.dumps(config, indent=2) + "\n", path)
+
+
 def save_text(text: str, path: str) -> None:
     """A small rendered file, whole or not at all."""
     part = f"{path}.part"

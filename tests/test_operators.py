@@ -20,18 +20,59 @@ def as_of():
     return F.lit("2026-07-02 20:00:00").cast("timestamp")
 
 
-CONFIG = config.Config(["summer intern", "entry level"], ["USA"], rules={"USA": {"requireCitizenship": False, "requireSponsorship": False}})
+CONFIG = config.Config(["summer intern", "entry level"], ["USA"], rules={"USA": {"allow_citizenship_required": False, "allow_no_sponsorship": False}})
 
 
-def test_config():
-    good = {"target": {"intern": ["summer intern"], "full-time": [], "countries": ["USA"]}, "filter": {"USA": {}}, "ai": {"enabled": False}}
-    assert config.Config.of(good).allowed == ["USA", "Unsure"]
+SHIPPED = {
+    "target": {
+        "intern": ["summer intern", "off-season intern"], "full-time": ["entry level"], "countries": ["USA"],
+        "filter": {"USA": {"allow_citizenship_required": False, "allow_no_sponsorship": False}}, "keywords": ["software"],
+    },
+    "ai": {"enabled": True, "provider": "google", "model": "gemini-2.5-flash"},
+    "sender": {"host": "smtp.example.com", "port": 587, "user": "a@example.com", "email": "a@example.com"},
+    "receiver": {"email": "b@example.com"},
+}
+
+
+def test_config(tmp_path):
+    c = config.Config.of(SHIPPED)
+    assert c.allowed == ["USA", "Unsure"] and c.rules == SHIPPED["target"]["filter"] and (c.sender, c.receiver) == (SHIPPED["sender"], SHIPPED["receiver"])
     with pytest.raises(ValueError, match='"USA" filter requires "USA" to exist in target.countries'):
-        config.Config.of(good | {"target": {"countries": ["Canada"]}})
+        config.Config.of(SHIPPED | {"target": SHIPPED["target"] | {"countries": ["Canada"]}})
     with pytest.raises(ValueError, match="port"):
-        config.Config.of(good | {"email": {"port": 99999}})
-    form = "### Job categories\n- [x] Summer Intern\n- [ ] Entry Level\n### Countries\nUSA\n### Require citizenship\nyes\n### Keywords\n_No response_\n"
-    assert config.of_form(form)["filter"] == {"USA": {"requireCitizenship": True, "requireSponsorship": False}}
+        config.Config.of(SHIPPED | {"sender": SHIPPED["sender"] | {"port": 99999}})
+    with pytest.raises(ValueError, match="receiver.email"):
+        config.Config.of(SHIPPED | {"receiver": {"email": "nobody"}})
+    files.save_config(SHIPPED, str(tmp_path / "config.json"))
+    assert files.load_config(str(tmp_path / "config.json")) == c
+    form = (
+        "### Internship targets\n\n- [x] summer intern\n- [X] off-season intern\n\n### Full-time targets\n\n- [x] entry level\n- [ ] mid level\n\n### Countries\n\n- [x] USA\n- [ ] Canada\n\n"
+        "### Allow citizenship-required jobs?\n\nNo\n\n### Allow jobs without sponsorship?\n\nno\n\n### Keywords\n\nsoftware\n\n### AI enabled\n\n- [x] Enable\n\n### AI provider\n\ngoogle\n\n### AI model\n\ngemini-2.5-flash\n\n"
+        "### SMTP host\n\nsmtp.example.com\n\n### SMTP port\n\n587\n\n### SMTP user\n\na@example.com\n\n### Sender email\n\na@example.com\n\n### Receiver email\n\nb@example.com\n"
+    )
+    assert config.of_form(form) == SHIPPED
+    with pytest.raises(ValueError, match="SMTP host is required"):
+        config.of_form(form.replace("smtp.example.com", "_No response_"))
+
+
+def test_state_survives_a_run(spark, tmp_path):
+    urls = ["https://b.co/é?q=\"1\"", "https://a.co/2", "https://a.co/10", "https://a.co/2", None]
+    for some in (urls, []):
+        files.save_urls(spark.createDataFrame([(u,) for u in some], "url string"), str(tmp_path / "urls.json"))
+        assert sorted(r.url for r in files.load_urls(spark, str(tmp_path / "urls.json")).collect()) == sorted({u for u in some if u})
+    written = json.loads(next((tmp_path / "urls.json").glob("part-*")).read_text())
+    assert written == []
+    files.save_documents(spark.createDataFrame([(7, '{"a": 1}'), (263, "plain\ntext"), (8, None)], "id long, text string"), str(tmp_path / "docs"))
+    get = lambda i: [(r.kind, r.text) for r in files.load_document(spark, str(tmp_path / "docs"), i).collect()]
+    assert (get(7), get(263), get(8), get(9)) == ([("json", '{"a": 1}')], [("txt", "plain\ntext")], [("txt", None)], [])
+
+
+def test_rules_reject_by_an_explicit_no_only(spark):
+    c = config.Config(["entry level"], ["USA", "Canada"], rules={"USA": {}, "Canada": {"allow_citizenship_required": True, "allow_no_sponsorship": False}})
+    rows = [("USA", "entry level", True, False, None), ("Canada", None, True, True, None), ("Canada", "", None, False, "no sponsorship"), ("Canada", "mid level", None, None, "category"), (None, None, None, None, "country")]
+    df = spark.createDataFrame(rows, "c string, k string, z boolean, s boolean, want string")
+    got = df.withColumn("got", eligibility.reason(F.col("c"), F.col("k"), F.col("z"), F.col("s"), c))
+    assert got.where("not (got <=> want)").collect() == []
 
 
 def test_eligibility(spark):
