@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from harrow.llm import tree
 
 # HTML elements by what they do to the text.
-SKIPPED = "script style template noscript svg math canvas iframe object select textarea button title audio video map head"
+SKIPPED = "script style template noscript svg math canvas iframe object select textarea button title audio video map"
 BLOCK = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre section summary table tbody td tfoot th "
@@ -39,12 +40,14 @@ NAMES = (
 _SKIPPED, _BLOCK, _VOID, _FURNITURE, _NAMES = (frozenset(x.split()) for x in (SKIPPED, BLOCK, VOID, FURNITURE, NAMES))
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|svg|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|svg|iframe|textarea|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*+>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Class names with such a word say what an element has or lacks, not what it is.
+DENIED = frozenset("has have no not non with without free".split())
 _BITS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "heading")
@@ -87,7 +90,12 @@ def _furniture(name: str, attrs: str) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    return any(b.lower() in _NAMES for m in _ATTR.finditer(attrs) for b in _BITS.findall(m[1] or m[2] or m[3] or ""))
+    for m in _ATTR.finditer(attrs):
+        for one in (m[1] or m[2] or m[3] or "").split():
+            words = {b.lower() for b in _BITS.findall(one)}
+            if words & _NAMES and not words & DENIED:
+                return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
@@ -96,9 +104,17 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # element, furniture, article: with those it is in
     words: list[str] = []  # text of the block so far
     linked = depth_link = heading = skipping = 0
+    opened: Counter[str] = Counter()
     at = 0
     skip_name = ""
 
+    def leave(k: int) -> None:
+        """The elements from k on end."""
+        if stack[-1][1] != stack[k - 1][1]:
+            flush()
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     def text(a: int, b: int) -> None:
         nonlocal linked
         if b > a and not skipping:
@@ -133,7 +149,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 skip_name, skipping = name, 1
             continue
         if name == "a":
-            depth_link = 0 if close else 1
+            depth_link = 0 if close else int("href" in m["attrs"].lower())
             continue
         if name == "br":
             words.append(" ")
@@ -145,22 +161,26 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 heading = 0 if close else 1
             elif heading:
                 heading = 0
-        if name in _VOID or (not block and not m["attrs"]):
+        if name in _VOID:
             continue
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if stack[k][1] != stack[k - 1][1]:
-                        flush()
-                    del stack[k:]
-                    break
-        elif name != "p" and not m["attrs"].endswith("/"):
+            if opened[name]:
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
+            continue
+        if block and opened["p"]:  # a block ends a paragraph, an item the one before
+            k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p")
+            if not any(x[0] in _BLOCK for x in stack[k + 1 :]):
+                leave(k)
+        if name in ("li", "option", "dd", "dt") and opened[name]:
+            k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+            if not any(x[0] in ("ul", "ol", "menu", "dl", "select") for x in stack[k + 1 :]):
+                leave(k)
+        if not m["attrs"].endswith("/"):
             _, was, article = stack[-1]
             now = was or (name not in ("body", "html", "article", "main") and _furniture(name, m["attrs"]))
             if now != was:
                 flush()
-            if name == "li" or name == "option":
-                continue
+            opened[name] += 1
             stack.append((name, now, article or name in ("article", "main") or "articlebody" in m["attrs"].lower()))
     text(at, len(page))
     flush()
@@ -182,7 +202,8 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     """The columns `keep` (page_id, url) of each row and its main text; n_chars has its code points.
 
     A null or empty page, and one without main text, has an empty text. Rows with null ids or urls and repeated rows are
-    treated each; unclosed and stray tags are allowed; other columns are left behind.
+    treated each; unclosed and stray tags are allowed, as are very long pages, which are read once from front to back; an empty table
+    gives no rows; other columns, whatever their names, are left behind.
     """
     keep = keep or ["page_id", "url"]
 

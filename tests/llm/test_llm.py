@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -403,6 +404,21 @@ def test_html(spark):
     assert (got[2].text, got[3].text) == ("", "") and got[None].text.count("\n") == 19_999
 
 
+def test_html_as_it_is_written():
+    main = html_extract.main_text
+    long = "words of a paragraph that goes on for long enough to be the text of a page and then some more of it"
+    assert main('<article><p>Intro <span class="x">in</span> and out</p><p>Second</p></article>') == "Intro in and out\nSecond"
+    assert main(f"<head><title>T</title><meta charset=x><body><article><p>{long}</p></article>") == long
+    assert main(f'<div class="layout has-sidebar"><article><p>{long}</p></article></div>') == long
+    assert main(f'<div class="content ad-free"><article><p>{long}</p></article></div>') == long
+    assert main(f"<article><a name=x><p>{long}</article>") == long
+    assert main('<article><p class="cookie-notice">We use cookies<ul><li class="ad">Buy<li>Item</ul><p>Rest</article>') == "Item\nRest"
+    for hostile in ("<a " * 330_000, '<p class="a' * 90_000, "<b>" * 100_000 + "</i>" * 100_000 + "</b>" * 1000):
+        began = time.process_time()
+        main(hostile)
+        assert time.process_time() - began < 3
+
+
 def test_tree_fits_its_table():
     t = np.array(html_extract.TABLE, float)
     assert ((tree.decide(html_extract.model(), t[:, :-1]) >= 0.5) == t[:, -1]).all()
