@@ -69,16 +69,54 @@ def parse(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return headers, rest[:length]
 
 
+#: Bytes that are inflated at a time.
+_STEP = 1 << 16
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of gzip members one after the other; what isn't compressed comes as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at, member = memoryview(data), 0, None
+    while at < len(view):
+        if member is None:
+            member = zlib.decompressobj(31)
+        step = view[at : at + _STEP]
+        yield member.decompress(step)
+        at += len(step)
+        if member.eof:
+            at -= len(member.unused_data)
+            member = None
+            while at < len(view) and view[at] == 0:  # padding
+                at += 1
+    if member is not None:
+        raise ValueError("file ends inside a gzip member")
+
+
 def split(data: bytes) -> Iterator[bytes]:
-    """The records of a file's bytes, gzip members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    while data.strip():
-        data = data.lstrip(b"\r\n")
-        headers, block = parse(data)
-        n = data.index(b"\r\n\r\n") + 4 + len(block)
-        yield data[:n] + b"\r\n\r\n"
-        data = data[n:]
+    """The records of a file's bytes, gzip members or plain, inflated and cut step by step. An empty file has none; ValueError where no whole record is."""
+    held = bytearray()
+    for piece in _inflated(data):
+        held += piece
+        at = 0
+        while True:
+            while at < len(held) and held[at] in b"\r\n":
+                at += 1
+            end = held.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            m = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", held[at : end + 2])
+            if held[at : at + 5] != b"WARC/" or not m:
+                raise ValueError("no record")
+            stop = end + 4 + int(m[1])
+            if stop > len(held):
+                break
+            yield bytes(held[at:stop]) + b"\r\n\r\n"
+            at = stop
+        del held[:at]
+    if held.strip():
+        raise ValueError("file ends inside a record")
 
 
 def _payload(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:

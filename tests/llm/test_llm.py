@@ -538,6 +538,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derivatives(broken.limit(0)).count() == 0
 
 
+def test_warc_files_are_read_in_one_go():
+    import gzip
+
+    made = [b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(x), x) for x in (b"%d\r\n\r\n" % k + b"x" * 2000 for k in range(8000))]
+    for whole in (b"".join(made), b"".join(map(gzip.compress, made)), gzip.compress(b"".join(made))):
+        began = time.process_time()
+        assert list(warc.split(whole)) == made
+        assert time.process_time() - began < 2
+    assert list(warc.split(b"")) == [] == list(warc.split(b"\r\n"))
+    for broken in (made[0][:-20], b"nope\r\n\r\n", gzip.compress(made[0])[:-9]):
+        with pytest.raises(ValueError):
+            list(warc.split(broken))
+
+
 def test_words_by_bytes():
     t = "Ab cé \t1x\n\x0bz"
     buf = np.frombuffer((t * 2).encode(), np.uint8)
