@@ -85,6 +85,51 @@ def test_pii_after_punctuation(spark):
     assert [r.text for r in pii.surrogates(frame(spark, kept), "k").orderBy("doc_id").collect()] == kept
 
 
+def luhn(digits):
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def iban(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_pii_check_digits(spark):
+    good = [f"4{k:014d}" for k in range(7, 700, 77)]
+    cards = [g + next(c for c in "0123456789" if luhn(g + c)) for g in good] + ["4111111111111112"]
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "DE00370400440532013000"]
+    got = [r.text for r in pii.surrogates(frame(spark, cards + ibans), "k").orderBy("doc_id").collect()]
+    assert len({*got}) == len(got) and not {*got} & {*cards, *ibans}
+    assert all(luhn(x) and len(x) == 16 and x[0] == "4" for x in got[: len(good)])
+    for a, b in zip(ibans[:3], got[len(cards) :], strict=False):
+        assert iban(b) and b[:2] == a[:2] and [c.isdigit() for c in a] == [c.isdigit() for c in b]
+    same = [r.text for r in pii.surrogates(frame(spark, ["GB29 NWBK 6016 1331 9268 19 or GB29NWBK60161331926819"]), "k").collect()][0].split(" or ")
+    assert same[0].replace(" ", "") == same[1] and iban(same[1])
+
+
+def test_pii_names_without_title(spark):
+    texts = [
+        "Mr. John Smith met us. Later Smith left; John Smith wrote, and Smith’s SMITH. Smithson stayed, a smith too", "Smith of another text",
+        "Господин Иванов и госпожа Иванова, Иванова и Иванов", "Dr. O'Brien; O'Brien's dog", "Mr. James James and Ms. James James. James", "x Mr. Smith",
+    ]
+    got = {r.doc_id: r for r in pii.surrogates(frame(spark, texts), "k").collect()}
+    a = re.fullmatch(r"Mr\. (\w+n) (\w+) met us\. Later (\w+) left; (\w+) (\w+) wrote, and (\w+)’s SMITH\. Smithson stayed, a smith too", got[0].text)
+    assert a and a[1] == a[4] and a[2] == a[3] == a[5] == a[6] != "Smith" and got[0].n_entities == 5
+    assert got[1].text == texts[1] and got[1].n_entities == 0
+    b = re.fullmatch(r"Господин (\w+ов) и госпожа (\w+), (\w+) и (\w+)", got[2].text)
+    assert b and b[1] == b[4] != "Иванов" and b[2] == b[3] == b[1] + "а" and got[2].n_entities == 4
+    c = re.fullmatch(r"Dr\. (\w+); (\w+)'s dog", got[3].text)
+    assert c and c[1] == c[2]
+    assert "James" not in got[4].text and got[5].text == f"x Mr. {a[2]}"
+
+
+def test_pii_ipv6(spark):
+    texts = ["at 2001:db8:85a3:0:0:8a2e:370:7334 and 2001:DB8:85A3:0:0:8A2E:370:7334, fe80:0:0::1", "std::vector a::b 12:30:45 at 10:20"]
+    got = {r.doc_id: r for r in pii.surrogates(frame(spark, texts), "k").collect()}
+    a = re.fullmatch(r"at ([0-9a-f:]+) and ([0-9A-F:]+), ([0-9a-f:]+)", got[0].text)
+    assert a and a[1] == a[2].lower() != texts[0][3:34] and a[1].count(":") == 7 and "::" in a[3] and got[0].n_entities == 3
+    assert got[1].text == texts[1]
+
+
 # suffix array
 
 
