@@ -53,23 +53,33 @@ def grams(buf: np.ndarray) -> np.ndarray:
     return np.ndarray(len(buf), "<u8", padded, strides=(1,)).copy()
 
 
+#: Places of which the least hash is sought at a time.
+MOST_PLACES = 1 << 28
+_BACK = np.arange(LENGTH) % STEP
+
+
 def anchor_of_windows(code: np.ndarray) -> np.ndarray:
     """For each place the anchor's start of the LENGTH bytes from there on; short by LENGTH - 1 places."""
     n = len(code) - GRAM + 1
     need = LENGTH - GRAM + 1
     if n < need:
         return np.zeros(0, np.int64)
-    v = mix(code[:n] + R)
-    i = np.arange(n, dtype=np.int32)
-    span = 1
-    while span < need:
-        s = min(span, need - span)
-        take = v[s:] < v[:-s]
-        i = np.where(take, i[s:], i[:-s])
-        v = np.where(take, v[s:], v[:-s])
-        span += s
-    p = np.arange(len(i))
-    return p + (i - p) % STEP
+    out = np.empty(n - need + 1, np.int64)
+    low = np.uint64(MOST_PLACES - 1)
+    for first in range(0, len(out), MOST_PLACES - need):
+        # the place stands below the hash, so that the least is the leftmost of the least
+        v = mix(code[first : min(n, first + MOST_PLACES)] + R)
+        v = v & ~low | np.arange(len(v), dtype=np.uint64)
+        span = 1
+        while span < need:
+            s = min(span, need - span)
+            v = np.minimum(v[s:], v[:-s])
+            span += s
+        p = np.arange(len(v))
+        back = (v & low).astype(np.int64) - p
+        part = out[first : first + MOST_PLACES - need]
+        part[:] = (first + p + _BACK[back])[: len(part)]
+    return out
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,11 +213,10 @@ def _shared(listing: DataFrame, n: int) -> DataFrame:
                     h.append(x)
         if doc:
             d, x = np.concatenate(doc), np.concatenate(h)
-            order = np.lexsort((d, x))
+            order = np.argsort(x)
             d, x = d[order], x[order]
             begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            end = np.append(begin[1:], len(x)) - 1
-            many = np.repeat(d[begin] != d[end], end - begin + 1)
+            many = np.repeat(np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin), np.diff(np.append(begin, len(x))))
             if many.any():
                 yield answers(list(names), d[many], _low(x[many]))
 
@@ -219,6 +228,7 @@ def _shared(listing: DataFrame, n: int) -> DataFrame:
     return listing.repartition(n, "p").mapInArrow(run, "digest string, hashes binary")
 
 
+_POWER = 2.0 ** np.arange(STEP)
 _SUFFIXES = pa.schema([("p", pa.int32()), ("known", pa.bool_()), ("digests", pa.binary()), ("reps", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("windows", pa.binary()), ("cuts", pa.binary()), ("around", pa.list_(pa.binary()))])
 
 
@@ -270,32 +280,31 @@ def _suffixes(held: DataFrame, n: int) -> DataFrame:
                     continue
                 h = _cut6(h)
                 doc = np.searchsorted(offs, at, side="right") - 1
-                padded = np.concatenate([np.zeros(BEFORE, np.uint8), buf, np.zeros(AFTER, np.uint8)])
-                view = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)
-                bounds = np.searchsorted(doc, np.arange(len(offs)))
+                name = np.full(len(offs) - 1, -1)
+                wanted = []
                 for i in range(len(offs) - 1):
-                    if digest[lo + i] in seen:
-                        continue
-                    seen.add(digest[lo + i])
-                    s = slice(bounds[i], bounds[i + 1])
-                    wanted = np.frombuffer(b"".join(lists[lo + i]), "<u4")
-                    mine = np.isin(_low(h[s]), wanted)
-                    x, hx = at[s][mine], h[s][mine]
-                    if not len(x):
-                        continue
-                    # bit o: the string that starts o bytes before the anchor is the anchor's
-                    windows = np.zeros(len(x), np.int64)
-                    for o in range(STEP):
-                        p = np.minimum(np.maximum(x - o, 0), len(a) - 1)
-                        ok = (x - o >= offs[i]) & (x - o < len(a)) & inside[p] & (a[p] == x)
-                        windows |= ok.astype(np.int64) << o
-                    around = view[x].copy()
-                    column = x[:, None] + np.arange(-BEFORE, AFTER)[None, :]
-                    around[(column < offs[i]) | (column >= offs[i + 1])] = 0
-                    keys.append(bytes.fromhex(digest[lo + i]))
-                    reps.append(rep[lo + i])
-                    parts.append((np.full(len(x), len(keys) - 1, np.int32), x - offs[i], hx, windows, around))
-                    size += len(x)
+                    if digest[lo + i] not in seen:
+                        seen.add(digest[lo + i])
+                        name[i] = len(keys)
+                        keys.append(bytes.fromhex(digest[lo + i]))
+                        reps.append(rep[lo + i])
+                        wanted.append(np.frombuffer(b"".join(lists[lo + i]), "<u4").astype(np.uint64) | np.uint64(i << 32))
+                if not wanted:
+                    continue
+                mine = np.isin(_low(h) | (doc.astype(np.uint64) << np.uint64(32)), np.concatenate(wanted))
+                if not mine.any():
+                    continue
+                # bit o: the string that starts o bytes before the anchor is the anchor's
+                p = np.flatnonzero(inside)
+                windows = np.bincount(np.searchsorted(at, a[p]), weights=_POWER[a[p] - p], minlength=len(at)).astype(np.int64)[mine]
+                x, hx, doc = at[mine], h[mine], doc[mine]
+                padded = np.concatenate([np.zeros(BEFORE, np.uint8), buf, np.zeros(AFTER, np.uint8)])
+                around = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[x]
+                edge = np.flatnonzero((x - BEFORE < offs[doc]) | (x + AFTER > offs[doc + 1]))
+                column = x[edge, None] + np.arange(-BEFORE, AFTER)[None, :]
+                around[edge] = np.where((column < offs[doc[edge], None]) | (column >= offs[doc[edge] + 1, None]), 0, around[edge])
+                parts.append((name[doc].astype(np.int32), x - offs[doc], hx, windows, around))
+                size += len(x)
                 if size > FLUSH // 6:
                     yield rows(keys, reps, parts)
                     keys, reps, parts, size = [], [], [], 0
@@ -337,8 +346,8 @@ def refine(code: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of consecutive starts of each document: the document, and start * 256 + length."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+    both = np.sort(doc.astype(np.int64) << 32 | start.astype(np.int64))
+    doc, start = (both >> 32).astype(np.int32), both & 0xFFFFFFFF
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
     at = np.flatnonzero(new)
@@ -393,12 +402,9 @@ def _marks(suffixes: DataFrame, n: int) -> DataFrame:
         kept = bucket >= 0
         row, o, bucket = row[kept], o[kept], bucket[kept]
         rep = np.array(reps, np.int64)[doc[row]]
-        order = np.lexsort((rep, bucket))
-        row, o, bucket, rep = row[order], o[order], bucket[order], rep[order]
-        first = np.ones(len(bucket), bool)
-        first[1:] = bucket[1:] != bucket[:-1]
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(bucket)), 0))
-        gone = rep > rep[lead]
+        least = np.full(len(buf), np.iinfo(np.int64).max)
+        np.minimum.at(least, bucket, rep)
+        gone = rep > least[bucket]
         if gone.any():
             of, runs = _runs(doc[row[gone]], place[row[gone]] - o[gone])
             which, at = np.unique(of, return_index=True)
