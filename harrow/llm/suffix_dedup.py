@@ -68,8 +68,11 @@ def anchor_of_windows(code: np.ndarray) -> np.ndarray:
     low = np.uint64(MOST_PLACES - 1)
     for first in range(0, len(out), MOST_PLACES - need):
         # the place stands below the hash, so that the least is the leftmost of the least
-        v = mix(code[first : min(n, first + MOST_PLACES)] + R)
-        v = v & ~low | np.arange(len(v), dtype=np.uint64)
+        v = (code[first : min(n, first + MOST_PLACES)] + R) * R
+        v ^= v >> np.uint64(31)
+        v *= R
+        v &= ~low
+        v |= np.arange(len(v), dtype=np.uint64)
         span = 1
         while span < need:
             s = min(span, need - span)
