@@ -158,14 +158,14 @@ def _listing(docs: DataFrame, n: int) -> DataFrame:
             x, which, count = _by_doc(d, x)
             out.append((p, known, b"".join([keys[k][:SHORT] for k in which]), np.minimum(count, 65535).astype("<u2").tobytes() + count[count >= 65535].astype("<i4").tobytes(), _low(x).tobytes() if known else _to6(x)))
 
+        if many.any():
+            put(int(h[0] % np.uint64(n)), True, doc[many], h[many])
         part = _range(h, n)  # grows with h
         cuts = np.searchsorted(part, np.arange(n + 1))
         for p in range(n):
             s = slice(cuts[p], cuts[p + 1])
             if first[s].any():
                 put(p, False, doc[s][first[s]], h[s][first[s]])
-            if many[s].any():
-                put(p, True, doc[s][many[s]], h[s][many[s]])
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _LISTS.types, strict=True)], schema=_LISTS) if out else pa.RecordBatch.from_pylist([], schema=_LISTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +196,12 @@ def _listing(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "p int, known boolean, digests binary, counts binary, hashes binary")
 
 
-def _shared(listing: DataFrame, n: int) -> DataFrame:
-    """(digest, hashes): of each text, anchors that another text holds too."""
+def _shared(listing: DataFrame, blocks: int, n: int) -> DataFrame:
+    """(short, hashes): of each text, by the first bytes of its digest, anchors that another text holds too; one row a text.
+
+    Answers go from ranges of hashes to blocks of texts, whose number follows the bytes of text, so that a row holds the answers
+    for all texts of a block; there are never more rows than texts with answers in a range.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[bytes, int] = {}
@@ -224,11 +228,36 @@ def _shared(listing: DataFrame, n: int) -> DataFrame:
                 yield answers(list(names), d[many], _low(x[many]))
 
     def answers(keys: list[bytes], doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        h, which, count = _by_doc(doc, h)
-        cuts = np.concatenate([[0], np.cumsum(count)])
-        return pa.RecordBatch.from_arrays([pa.array([keys[k].hex() for k in which]), pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["digest", "hashes"])
+        block = np.frombuffer(b"".join(k[:4] for k in keys), ">u4").astype(np.int64) * blocks >> 32
+        order = np.argsort(block, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        h, which, count = _by_doc(rank[doc], h)
+        which = order[which]
+        b, first = np.unique(block[which], return_index=True)
+        edges, at = np.append(first, len(which)), np.concatenate([[0], np.cumsum(count)])
+        cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        columns = [
+            pa.array(b, pa.int64()), pa.array([b"".join(keys[k][:SHORT] for k in which[x:y]) for x, y in cuts], pa.binary()),
+            pa.array([count[x:y].astype("<u4").tobytes() for x, y in cuts], pa.binary()), pa.array([h[at[x] : at[y]].tobytes() for x, y in cuts], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["b", "digests", "counts", "hashes"])
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[dict]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.setdefault(r.pop("b"), []).append(r)
+        for b in sorted(held):
+            texts: dict[bytes, list[bytes]] = {}
+            for r in held.pop(b):
+                at = np.concatenate([[0], np.cumsum(np.frombuffer(r["counts"], "<u4"), dtype=np.int64)]) * 4
+                for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    texts.setdefault(r["digests"][i * SHORT : (i + 1) * SHORT], []).append(r["hashes"][x:y])
+            yield pa.RecordBatch.from_arrays([pa.array([k.hex() for k in texts]), pa.array([[b"".join(x)] for x in texts.values()], pa.list_(pa.binary()))], names=["short", "hashes"])
 
-    return listing.repartition(n, "p").mapInArrow(run, "digest string, hashes binary")
+    found = listing.repartition(n, "p").mapInArrow(run, "b long, digests binary, counts binary, hashes binary")
+    return found.repartition(n, "b").mapInArrow(regroup, "short string, hashes array<binary>")
 
 
 _POWER = 2.0 ** np.arange(STEP)
@@ -458,8 +487,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     long_rows = rows.where((F.octet_length("text") >= LENGTH) & F.col("id").isNotNull())
     reps = cut(own.where((F.col("n_bytes") >= LENGTH) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")))
     size = reps.agg(F.sum("n_bytes")).first()[0] or 0
-    answers = _shared(_listing(long_rows.select("text"), -(-size // LISTED) or 1), n)
-    shared = cut(answers.groupBy("digest").agg(F.collect_list("hashes").alias("hashes")).withColumnRenamed("digest", "short").join(reps.select("digest", F.substring("digest", 1, 2 * SHORT).alias("short"), F.col("rep").alias("id")), "short").drop("short"))
+    ranges = -(-size // LISTED) or 1
+    answers = _shared(_listing(long_rows.select("text"), ranges), ranges, n)
+    shared = cut(answers.join(reps.select("digest", F.substring("digest", 1, 2 * SHORT).alias("short"), F.col("rep").alias("id")), "short").drop("short"))
     # the first text of each class travels, compressed, and once: both joins below read one exchange, by id, which copies don't share
     texts = might_hold(long_rows.select("id", "digest", "text"), "id", shared.select("id")).mapInArrow(_packed, "id long, digest string, text binary")
     held = texts.join(shared, ["id", "digest"]).select("digest", F.col("id").alias("rep"), "text", "hashes")
