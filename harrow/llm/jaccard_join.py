@@ -408,18 +408,19 @@ def _large(members: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
 
 def _by_family(classes: DataFrame, star: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """(label, component) of families of a slice at most; the members of the others, if any; the texts, which travel compressed."""
+    """(label, component) of families of a slice at most; the members of the others, if any, and their texts. Texts travel compressed."""
     families = components(star).withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
     members = classes.join(families, "d1").select("family", F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2")
     members = cut(members.join(members.groupBy("family").agg(F.sum("n_shingles").alias("weight")), "family"))
-    if "body" in docs.columns:
-        texts = docs.select("doc_id", "body")
-    else:
-        texts = might_hold(docs, "doc_id", members.select("doc_id")).mapInArrow(_packed, "doc_id long, body binary")
-    small = members.where(F.col("weight") <= p.slice_).join(texts, "doc_id")
-    small = small.select(F.col("family").alias("slice"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("probe"), "d1", "d2", "body")
-    large = members.where(F.col("weight") > p.slice_)
-    return cut(_components(small, p)), large if large.limit(1).count() else None, texts
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        found = might_hold(docs, "doc_id", wanted.select("doc_id"))
+        return found.select("doc_id", "body") if "body" in docs.columns else found.mapInArrow(_packed, "doc_id long, body binary")
+
+    small, large = members.where(F.col("weight") <= p.slice_), members.where(F.col("weight") > p.slice_)
+    rows = small.join(texts(small), "doc_id")
+    rows = rows.select(F.col("family").alias("slice"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("probe"), "d1", "d2", "body")
+    return cut(_components(rows, p)), large if large.limit(1).count() else None, texts(large)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, slice_: int = SLICE) -> DataFrame:
