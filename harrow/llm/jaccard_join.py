@@ -20,6 +20,7 @@ slices of so many shingles: see _large.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +37,6 @@ from harrow.llm.components import components, least_reached
 #: Differences that a group of ranges may hold, and ranges of a group.
 K2, N2 = 1, 3
 SEEDS = 3
-#: One group in so many is more than the pigeonhole principle needs, so similar sets share one subset more for each.
-SLACK = 16
 #: Shingles of a slice of a family, which is what one task holds at a time.
 SLICE = 1 << 21
 #: Signatures that a task reads, about.
@@ -78,6 +77,32 @@ def bands(percent: int, size: int) -> list[int]:
     return ends
 
 
+_groups: dict[tuple[int, int], tuple[int, int]] = {}
+
+
+def ranges(percent: int, band: int) -> tuple[int, int]:
+    """Groups of ranges that a band's sets are cut into, and how many of these are more than the pigeonhole principle needs.
+
+    Each spare group costs N2 signatures, and makes it rarer that a set has to be partitioned again. The number taken is the one with
+    the fewest signatures to be expected of a set of the band's size with random hashes; it follows from percent and band alone.
+    """
+    if (percent, band) not in _groups:
+        ends = bands(percent, 0)
+        k = ends[band] * (100 - percent) // percent if band else 0
+        least = -(-(k + 1) // (K2 + 1))
+        size = (ends[band] + ends[band - 1]) / 2 if band else 0
+
+        def cost(spare: int) -> float:
+            n = least + spare
+            empty = n * N2 * math.exp(-(N2 - K2) * size / (n * N2))
+            again = math.erfc((spare + 0.5 - empty) / math.sqrt(2 * empty + 1e-9)) / 2
+            return n * (1 + again + again**2)
+
+        spare = min(range(0, least, max(1, least // 64)), key=cost) if k else 0
+        _groups[percent, band] = (least + spare if k else 0, spare)
+    return _groups[percent, band]
+
+
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """The PartEnum signatures of a sorted set."""
     out = []
@@ -91,12 +116,9 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         np.cumsum(textvec.mix(s + textvec.R), out=total[1:])
         empty = False
         for b in (band, band - 1):
-            k = ends[b] * (100 - percent) // percent if b else 0
-            if k == 0:
+            n1, slack = ranges(percent, b)
+            if n1 == 0:
                 continue  # equal sets only
-            n1 = -(-(k + 1) // (K2 + 1))
-            slack = n1 // SLACK
-            n1 += slack
             units = n1 * N2
             cuts = (np.arange(1, units, dtype=np.float64) * (2.0**64 / units)).astype(np.uint64)
             at = np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
