@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -61,8 +62,22 @@ def chunks(col: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """df.mapInArrow(fn, schema), after which the worker gives its memory back: it outlives the task, beside the JVM of the next stage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def _marked(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, Column]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import textvec
-from harrow.llm.common import chunks
+from harrow.llm.common import chunks, map_arrow
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block.
@@ -118,7 +118,7 @@ def _narrow(column: np.ndarray, lo: np.ndarray, hi: np.ndarray, word: np.ndarray
 
 def _scan(batch_text: pa.Array, blocks: list[Suffixes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
     """For each run of rows: its first row, words of each document, hit flags per word, matches of each block."""
-    for lo, _, buf, offs in chunks(batch_text, 1 << 22):
+    for lo, _, buf, offs in chunks(batch_text, 1 << 20):
         starts, ends, first = textvec.word_spans(buf, offs, textvec.ALNUM)
         h = textvec.span_hashes(buf, starts, ends, lower=True)
         edge = np.zeros(len(h) + 1, np.int64)
@@ -173,7 +173,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             ids = [sorted({m["item_id"] for m in ms}) for ms in matches]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(hits), pa.array(ids, pa.list_(pa.string())), pa.array(hits > 0), pa.array(matches, kind)], names=["id", "n_words", "n_hit", "item_ids", "contaminated", "matches"])
 
-    out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {id_type}, n_words long, n_hit long, item_ids array<string>, contaminated boolean, matches array<struct<item_id:string,doc_word:long,item_word:long,length:long>>")
+    out = map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"id {id_type}, n_words long, n_hit long, item_ids array<string>, contaminated boolean, matches array<struct<item_id:string,doc_word:long,item_word:long,length:long>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -206,7 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 clean[lo : lo + len(first) - 1] = np.diff(np.concatenate([[0], np.cumsum(hit)])[first]) == 0
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def items_digest(ids: list[str]) -> str:

@@ -9,8 +9,9 @@ sets share. Subsets in which a set has no element say nothing. With s groups mor
 which a set with empty subsets in s groups or fewer has a full one. A set with more is partitioned again under another seed,
 and only the last seed keeps signatures of empty subsets, so no pair is lost.
 
-Equal sets are one class from the start, and a class is looked at once, by its first document. Families are what shared
-signatures connect. A family travels as its members' texts, one row each, and is joined where it arrives: a member looks up those that
+Equal sets are one class from the start, and a class is looked at once, by its first document. Signatures travel packed: to each range of
+them a block of many texts' signatures, cut to what tells them apart there, with the ids as differences, about six bytes a signature where
+texts that lie together have ids that do (see _Packer). Families are what shared signatures connect. A family travels as its members' texts, one row each, and is joined where it arrives: a member looks up those that
 hold one of its rarest shingles, overlaps are counted exactly, and links unite components as they are found, so members of the
 largest component need no look of their own. What comes out is a row per member, never a row per pair. A family of more than
 SLICE shingles, which passages that many texts share bring about, is taken apart once more by prefix filtering: two members can
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm import textvec
-from harrow.llm.common import BITMAP_WORDS, chunks, cut, might_hold, partitions, without
+from harrow.llm.common import BITMAP_WORDS, chunks, cut, map_arrow, might_hold, partitions, without
 from harrow.llm.components import components, least_reached
 
 #: Differences that a group of ranges may hold, and ranges of a group.
@@ -41,6 +42,10 @@ SEEDS = 3
 SLICE = 1 << 21
 #: Signatures that a task reads, about.
 PER_TASK = 1 << 22
+#: Bytes of text that are looked at together.
+CHUNK = 1 << 19
+#: Signatures that are packed at a time, and bytes kept of each beside its range.
+PACK, SIG_BYTES = 1 << 19, 5
 
 
 @dataclass(frozen=True)
@@ -150,50 +155,107 @@ def digests(docs: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), *_digest(s)) for _, _, buf, offs in chunks(batch.column(1)) for s in sets(buf, offs, p.n)]
+            rows = [(len(s), *_digest(s)) for _, _, buf, offs in chunks(batch.column(1), CHUNK) for s in sets(buf, offs, p.n)]
             a = np.array(rows, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(a[:, i]) for i in range(3))], names=["doc_id", "n_shingles", "d1", "d2"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n_shingles long, d1 long, d2 long")
+    return map_arrow(docs, run, f"doc_id {docs.schema[0].dataType.simpleString()}, n_shingles long, d1 long, d2 long")
 
 
-def signature_rows(docs: DataFrame, p: Params) -> DataFrame:
-    """(sig, d1) of (doc_id, text): a class's signatures, from each task that has the class once."""
+class _Packer:
+    """Signatures and the ids of their texts, dealt into `parts` ranges of signatures: (part, ids, sigs) of each range once in PACK signatures.
+
+    ids are the distinct ids in order, as differences, with the number of signatures of each, in planes of bytes, compressed; sigs are the
+    signatures' low 40 bits in the same order. A range has some 2^22 signatures however many there are in all, so 40 bits
+    tell them apart as well at any size; two that are taken for one only bring texts into a family that are then compared in vain.
+    """
+
+    def __init__(self, parts: int):
+        self.parts, self.size, self.held = parts, 0, []
+        self.zip = zstandard.ZstdCompressor(level=1)
+
+    def add(self, doc: int, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((doc, sig))
+        self.size += len(sig)
+        if self.size >= PACK:
+            yield from self.rows()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        self.held.sort(key=lambda x: x[0])
+        sig = np.concatenate([x for _, x in self.held])
+        doc = np.repeat(np.array([x for x, _ in self.held], np.int64), [len(x) for _, x in self.held])
+        self.held, self.size = [], 0
+        part = (sig >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)
+        order = np.argsort(part.astype(np.uint16 if self.parts <= 1 << 16 else np.uint32), kind="stable")
+        sig, doc, part = sig[order], doc[order], part[order]
+        low = np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES])
+        at = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
+        ids, count = doc[at].view(np.uint64), np.diff(at, append=len(sig)).astype("<u4")
+        begin = np.flatnonzero(np.concatenate([[True], part[at][1:] != part[at][:-1]]))
+        packed = []
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True):
+            gap = np.diff(ids[a:b], prepend=np.uint64(0)).astype("<u8")
+            planes = np.concatenate([gap.view(np.uint8).reshape(-1, 8), count[a:b].view(np.uint8).reshape(-1, 4)], axis=1).T
+            packed.append((self.zip.compress(planes.tobytes()), low[at[a] : at[b] if b < len(at) else len(low)].tobytes()))
+        cols = [pa.array(part[at[begin]].astype(np.int32)), *(pa.array([x[i] for x in packed], pa.binary()) for i in (0, 1))]
+        for k in range(0, len(packed), 256):
+            yield pa.RecordBatch.from_arrays([c[k : k + 256] for c in cols], names=["part", "ids", "sigs"])
+
+
+_PACKED = "part int, ids binary, sigs binary"
+
+
+def _unpacked(part: int, ids: bytes, sigs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, of which those of two ranges never meet, and the id of each."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint8).reshape(12, -1).T
+    gap, count = (np.ascontiguousarray(x) for x in (planes[:, :8], planes[:, 8:]))
+    out = np.zeros((len(sigs) // SIG_BYTES, 8), np.uint8)
+    out[:, :SIG_BYTES] = np.frombuffer(sigs, np.uint8).reshape(-1, SIG_BYTES)
+    sig = out.view("<u8").ravel() | np.uint64(part << 8 * SIG_BYTES)
+    return sig, np.repeat(np.cumsum(gap.view("<u8").ravel(), dtype=np.uint64).view(np.int64), count.view("<u4").ravel())
+
+
+def signature_rows(docs: DataFrame, p: Params, parts: int) -> DataFrame:
+    """Packed signatures of (doc_id, text): a class's signatures, from each task that has the class once, under its first document there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        pack = _Packer(parts)
         for batch in batches:
             ids = batch.column(0)
-            for lo, _, buf, offs in chunks(batch.column(1)):
-                sigs, keys = [], []
+            for lo, _, buf, offs in chunks(batch.column(1), CHUNK):
                 for i, s in enumerate(sets(buf, offs, p.n)):
                     key = _digest(s)[0]
                     if not len(s) or key in seen or not ids[lo + i].is_valid:
                         continue
                     seen.add(key)
-                    sigs.append(signatures(s, p.percent))
-                    keys.append(np.full(len(sigs[-1]), key, np.int64))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "d1"])
+                    yield from pack.add(ids[lo + i].as_py(), signatures(s, p.percent))
+        yield from pack.rows()
 
-    return docs.mapInArrow(run, "sig long, d1 long")
+    return map_arrow(docs, run, _PACKED)
 
 
 def stars(rows: DataFrame, parts: int) -> DataFrame:
-    """(a, b), a < b: classes that signatures connect; what is connected here is what shares signatures, in one step or in several.
+    """(a, b), a < b: ids that signatures connect; what is connected here is what shares signatures, in one step or in several.
 
-    A task gives a spanning forest of its buckets, so a row per class at most, however many signatures it shares there.
-    Over the tasks' rows each class then names its smallest neighbour only, and the others name that one.
+    A task gives a spanning forest of its range, so a row per id at most, however many signatures it shares there.
+    Over the tasks' rows each id then names its smallest neighbour only, and the others name that one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        got = [_unpacked(*row) for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         if not got:
             return
         sig, doc = (np.concatenate(x) for x in zip(*got, strict=True))
         got.clear()
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        shared = np.zeros(len(sig) + 1, bool)  # most stand alone
+        shared[1:-1] = sig[1:] == sig[:-1]
+        shared = shared[1:] | shared[:-1]
+        sig, doc = sig[shared], doc[order[shared]]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
         hub = doc[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
@@ -202,7 +264,7 @@ def stars(rows: DataFrame, parts: int) -> DataFrame:
         b = node != least
         yield pa.RecordBatch.from_arrays([pa.array(least[b]), pa.array(node[b])], names=["a", "b"])
 
-    forest = rows.repartition(parts, "sig").mapInArrow(run, "a long, b long").distinct()
+    forest = map_arrow(rows.repartitionById(parts, "part"), run, "a long, b long").distinct()
     named = forest.withColumn("m", F.min("a").over(Window.partitionBy("b")))
     edges = named.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
     return edges.select("e.a", "e.b").where("a <> b").distinct()
@@ -316,7 +378,7 @@ def _components(rows: DataFrame, p: Params) -> DataFrame:
         yield rows_out()
 
     dealt = rows.repartition(partitions(rows.sparkSession), "slice").sortWithinPartitions("slice", "doc_id")
-    return dealt.mapInArrow(run, "label long, component long")
+    return map_arrow(dealt, run, "label long, component long")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,35 +410,26 @@ def _common(bodies: DataFrame, p: Params) -> np.ndarray:
                 size = 0
         yield often()
 
-    words = bodies.mapInArrow(run, "bit long").groupBy(F.shiftrightunsigned("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("m"))
+    words = map_arrow(bodies, run, "bit long").groupBy(F.shiftrightunsigned("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("m"))
     out = np.zeros(BITMAP_WORDS, np.int64)
     got = words.toArrow()
     out[got.column("w").to_numpy()] = got.column("m").to_numpy()
     return out.view(np.uint64)
 
 
-def prefix_rows(bodies: DataFrame, common: np.ndarray, p: Params) -> DataFrame:
-    """(sig, d1): of each class the shingles that come first where those in `common` come last, as many as a link must share one of."""
-
-    def rows(first: list[np.ndarray], d1: list[int]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(np.array(d1, np.int64), [len(x) for x in first]))], names=["sig", "d1"])
-        first.clear()
-        d1.clear()
-        return out
+def prefix_rows(bodies: DataFrame, common: np.ndarray, p: Params, parts: int) -> DataFrame:
+    """Packed, of each class the shingles that come first where those in `common` come last, as many as a link must share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, keys = [], []
-        for s, d1, _ in _sets_of(batches, p, 3):
+        pack = _Packer(parts)
+        for s, _, (doc, *_) in _sets_of(batches, p, 3):
             bit = s % np.uint64(BITMAP_WORDS * 64)
             known = (common[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
-            held.append(s[np.lexsort((s, known))][: len(s) - -(-p.percent * len(s) // 100) + 1])
-            keys.append(d1)
-            if len(held) == 1024:
-                yield rows(held, keys)
-        if held:
-            yield rows(held, keys)
+            first = s[np.lexsort((s, known))][: len(s) - -(-p.percent * len(s) // 100) + 1]
+            yield from pack.add(doc, textvec.mix(first + textvec.R))  # sorted hashes come first, and would all fall into few ranges
+        yield from pack.rows()
 
-    return bodies.mapInArrow(run, "sig long, d1 long")
+    return map_arrow(bodies, run, _PACKED)
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], p: Params, at: int) -> Iterator[tuple[np.ndarray, int, tuple]]:
@@ -386,7 +439,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch], p: Params, at: int) -> Iterator[
         for k in range(0, whole.num_rows, 256):
             batch = whole.slice(k, 256)
             texts = pa.array([unzip.decompress(x) for x in batch.column(at).to_pylist()], pa.large_binary()).cast(pa.large_string())
-            found = (s for _, _, buf, offs in chunks(texts) for s in sets(buf, offs, p.n))
+            found = (s for _, _, buf, offs in chunks(texts, CHUNK) for s in sets(buf, offs, p.n))
             for s, *row in zip(found, *(batch.column(i).to_pylist() for i in range(at)), strict=True):
                 if _digest(s) == (row[at - 2], row[at - 1]):
                     yield s, row[at - 2], row
@@ -429,15 +482,32 @@ def _large(members: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return first.union(labels.select("label", F.col("doc_id").alias("component"))).union(_components(body(second), p))
 
 
-def _by_family(classes: DataFrame, star: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def _families(own: DataFrame, star: DataFrame) -> DataFrame:
+    """(n_shingles, d1, d2, family, doc_id): classes that have signatures in common with others; doc_id is the smallest of a class.
+
+    Any document of a class may be the one that signatures went under, and one id may have texts of several classes; where a class
+    so comes to be in two families, they are one.
+    """
+    key = ["n_shingles", "d1", "d2"]
+    own = own.select(*key, "doc_id")
+    least = own.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
+    of = own.join(components(star).withColumnRenamed("node", "doc_id"), "doc_id")
+    found = cut(of.groupBy(*key).agg(F.min("component").alias("family"), F.max("component").alias("last")))
+    if found.where("family < last").limit(1).count():
+        links = of.join(found.select(*key, "family"), key).select("family", "component").distinct()
+        one = components(links, "family", "component").withColumnRenamed("node", "family")
+        found = found.join(one, "family").drop("family").withColumnRenamed("component", "family")
+    return found.drop("last").join(least, key)
+
+
+def _by_family(own: DataFrame, star: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """(label, component) of families of a slice at most; the members of the others, if any, and their texts. Texts travel compressed."""
-    families = components(star).withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
-    members = classes.join(families, "d1").select("family", F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2")
+    members = cut(_families(own, star))
     members = cut(members.join(members.groupBy("family").agg(F.sum("n_shingles").alias("weight")), "family"))
 
     def texts(wanted: DataFrame) -> DataFrame:
         found = might_hold(docs, "doc_id", wanted.select("doc_id"))
-        return found.select("doc_id", "body") if "body" in docs.columns else found.mapInArrow(_packed, "doc_id long, body binary")
+        return found.select("doc_id", "body") if "body" in docs.columns else map_arrow(found, _packed, "doc_id long, body binary")
 
     small, large = members.where(F.col("weight") <= p.slice_), members.where(F.col("weight") > p.slice_)
     rows = small.join(texts(small), "doc_id")
@@ -462,12 +532,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     full = own.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     stats = full.agg(F.sum("n_shingles")).first()[0] or 0
-    star = cut(stars(signature_rows(docs, p), max(partitions(spark), stats // PER_TASK)))
-    labels, large, texts = _by_family(classes, star, docs, p)
+    parts = int(max(partitions(spark), stats // PER_TASK))
+    star = cut(stars(signature_rows(docs, p, parts), parts))
+    labels, large, texts = _by_family(full, star, docs, p)
     if large is not None:
         bodies = cut(large.join(texts, "doc_id").select("doc_id", "d1", "d2", "body"))
-        star = cut(stars(prefix_rows(bodies, _common(bodies, p), p), max(partitions(spark), stats // PER_TASK)))
-        found, large, texts = _by_family(classes, star, bodies, p)
+        star = cut(stars(prefix_rows(bodies, _common(bodies, p), p, parts), parts))
+        found, large, texts = _by_family(large, star, bodies, p)
         labels = labels.union(found)
         if large is not None:
             found = components(_large(large, texts, p), "label", "component")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import bpe
-from harrow.llm.common import cut, partitions
+from harrow.llm.common import cut, map_arrow, partitions
 
 MAX_LEN = 1024
 EOS = 2
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, row_key long, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, f"id {kind}, row_key long, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
 _encoders: dict[str, bpe.Encoder] = {}
@@ -130,7 +130,7 @@ def place(parts: DataFrame, max_len: int = MAX_LEN, length_col: str = "length",
             yield b
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return dealt.mapInArrow(run, f"{ddl}, sequence_id long, offset long")
+    return map_arrow(dealt, run, f"{ddl}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, eos: int = EOS, with_ids: bool = False) -> DataFrame:

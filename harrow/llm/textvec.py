@@ -22,7 +22,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R**i and R**-i modulo 2**64 for i up to n."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 1 << 20)
         for k, base in enumerate((R, R_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -550,6 +550,43 @@ def test_signatures_lose_no_pair():
             assert len(np.intersect1d(jaccard_join.signatures(a, 90), jaccard_join.signatures(b, 90)))
 
 
+@pytest.mark.parametrize("parts", [1, 50, 70_000])
+def test_packed_signatures(parts):
+    r = np.random.default_rng(6)
+    ids = [3, -(1 << 63), (1 << 63) - 1, 0, 4, 3]
+    sent = [(i, r.integers(0, 1 << 64, n, dtype=np.uint64)) for i, n in zip(ids, [300, 1, 40, 0, 700, 2], strict=True)]
+    pack = jaccard_join._Packer(parts)
+    rows = [row for b in [x for doc, sig in sent for x in pack.add(doc, sig)] + [*pack.rows()] for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len({row[0] for row in rows}) == len(rows) and all(0 <= row[0] < parts for row in rows)
+    got = Counter(x for row in rows for x in zip(*(a.tolist() for a in jaccard_join._unpacked(*row)), strict=True))
+    short = lambda x: ((x >> 32) * parts >> 32) << 40 | x & (1 << 40) - 1
+    assert got == Counter((short(x), doc) for doc, sig in sent for x in sig.tolist())
+
+
+def test_signatures_travel_in_few_bytes(spark):
+    docs = spark.createDataFrame([(i, rng_text(i, 300, 10**6)) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    p = jaccard_join.Params(5, 80)
+    n = sum(len(jaccard_join.signatures(s, 80)) for i in (0, 1, 2) for s in jaccard_join.sets(*textvec_buffers(rng_text(i, 300, 10**6)), 5)) / 3 * 2000
+    for parts, most in ((50, 6), (1000, 8)):
+        rows = jaccard_join.signature_rows(docs, p, parts).collect()
+        assert sum(len(x) for row in rows for x in row if not isinstance(x, int)) < most * n
+
+
+def textvec_buffers(text):
+    b = np.frombuffer(text.encode(), np.uint8)
+    return b, np.array([0, len(b)])
+
+
+def test_jaccard_join_of_shared_ids(spark):
+    """Classes whose signatures go under other ids in other tasks, one of which has the text of another class, too."""
+    a, b = rng_text(1, 100, 10**6), rng_text(2, 100, 10**6)
+    near = lambda t: t + " e"
+    rows = [[(5, a), (6, a), (6, b)], [(7, a), (6, near(a))], [(8, near(b)), (9, b)], [(1, near(near(a))), (20, "z " * 9)]]
+    docs = spark.sparkContext.parallelize(rows, 4).flatMap(lambda x: x).toDF("doc_id long, text string")
+    got = {(x.doc_id, x.component_id) for x in jaccard_join.groups(docs, n=3, percent=90).collect()}
+    assert got == {(i, 1) for i in (1, 5, 6, 7, 8, 9)} | {(20, 20)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 60), (60, 60), (70, None)], "a long, b long")
     for most in (components.LOCAL, 3):
