@@ -26,6 +26,8 @@ from harrow.llm.common import chunks
 BUCKETS, LENGTHS = 1 << 15, (2, 3, 4)
 #: Log probability that a switch of language costs.
 PENALTY = 12.0
+#: Words of the texts that are gone through together, at most.
+LONG = 2048
 
 # Scripts by code point ranges (first, last).
 SCRIPTS = {
@@ -140,33 +142,63 @@ class Model:
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The best labels of the words: the sum of their scores less `penalty` for each switch is largest; ties stay.
+    """The best labels of the words: the sum of their scores less `penalty` for each switch is largest; ties stay."""
+    return paths([scores], penalty)[0]
 
-    A stretch of words that gain `penalty` or less (half of it at the start or end) in every other language than the one with
-    the best sum stays in that, as each language on the way costs a switch. So the recursion is run only from where no language has gained anything,
-    before a stretch that gains more, until the best language again leads all others by a switch.
+
+def paths(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """viterbi() of each text's scores.
+
+    The recursion is run only where a switch can pay (see _Places), step by step for all texts of as many languages together. Texts of
+    more than LONG words, with which few others would keep step, are gone through by themselves.
     """
-    n, k = scores.shape
-    best = int(scores.sum(axis=0).argmax()) if n else 0
-    out = np.full(n, best)
-    if n < 2 or k < 2:
-        return out
-    total = np.zeros((n + 1, k))
-    np.cumsum(scores - scores[:, best : best + 1], axis=0, out=total[1:])
-    gain = total - np.minimum.accumulate(total, axis=0)
-    may = (gain > penalty).any(axis=1) | (total > penalty / 2).any(axis=1)
-    may[n] |= (gain[n] > penalty / 2).any()  # a path of other languages from start to end has one switch fewer than languages
-    pays = np.flatnonzero(may)
-    behind = (gain == 0) & (total <= -penalty)  # by all that a switch costs; a path may start in any language for nothing
-    behind[0] = behind[:, best] = True
-    level = np.flatnonzero(behind.all(axis=1))
-    at = 0
-    while len(pays) and (first := int(np.searchsorted(pays, at + 1))) < len(pays):
-        a = max(at, int(level[np.searchsorted(level, pays[first], side="right") - 1]))
-        at = _run(scores, best, penalty, a, out)
+    out, together = [], {}
+    for scores in texts:
+        n, k = scores.shape
+        best = int(scores.sum(axis=0).argmax()) if n else 0
+        labels = np.full(n, best)
+        out.append(labels)
+        if n < 2 or k < 2:
+            continue
+        places = _Places(scores, best, penalty)
+        a = places.after(None)
+        if n <= LONG and a is not None:
+            together.setdefault(k, []).append((scores, best, places, labels))
+        while n > LONG and a is not None:
+            a = places.after(_run(scores, best, penalty, a, labels))
+    for some in together.values():
+        _run_together(some, penalty)
     return out
 
 
+class _Places:
+    """Where the recursion has to be run in a text.
+
+    A stretch of words that gain `penalty` or less (half of it at the start or end) in every other language than `best`, the one with
+    the best sum, stays in that, as each language on the way costs a switch. So the recursion is run from the start, if any stretch gains more, until
+    `best` leads all others by a switch, and then only from where no language has gained anything, before a stretch that gains more.
+    """
+
+    def __init__(self, scores: np.ndarray, best: int, penalty: float):
+        n, k = scores.shape
+        total = np.zeros((n + 1, k))
+        np.cumsum(scores - scores[:, best : best + 1], axis=0, out=total[1:])
+        gain = total - np.minimum.accumulate(total, axis=0)
+        may = (gain > penalty).any(axis=1) | (total > penalty / 2).any(axis=1)
+        may[n] |= (gain[n] > penalty / 2).any()  # a path of other languages from start to end has one switch fewer than languages
+        self.pays = np.flatnonzero(may)
+        self.level = np.flatnonzero((gain == 0).all(axis=1)) if len(self.pays) else self.pays
+
+    def after(self, at: int | None) -> int | None:
+        """The word to run from next, if any, where `best` leads by a switch before word `at` (None: at the start of the text)."""
+        if at is None:
+            return 0 if len(self.pays) else None
+        i = int(np.searchsorted(self.pays, at + 1))
+        if i == len(self.pays):
+            return None
+        return max(at, int(self.level[np.searchsorted(self.level, self.pays[i], side="right") - 1]))
+
+
 def _run(scores: np.ndarray, best: int, penalty: float, a: int, out: np.ndarray) -> int:
     """Labels from word a on, until `best` leads by a switch; where that is. Before a, if not at the start, the label is `best`."""
     k = scores.shape[1]
@@ -174,7 +206,7 @@ def _run(scores: np.ndarray, best: int, penalty: float, a: int, out: np.ndarray)
     v = [0.0 if a == 0 or j == best else -penalty for j in stay]
     back: list[list[int]] = []
     t = a
-    for row in scores[a:].tolist():
+    for row in (row for lo in range(a, len(scores), 64) for row in scores[lo : lo + 64].tolist()):
         m = max(stay, key=v.__getitem__)
         jump = v[m] - penalty
         back.append([j if v[j] >= jump else m for j in stay])
@@ -189,6 +221,52 @@ def _run(scores: np.ndarray, best: int, penalty: float, a: int, out: np.ndarray)
     return t
 
 
+def _run_together(texts: list[tuple[np.ndarray, int, _Places, np.ndarray]], penalty: float) -> None:
+    """As _run() of (scores, best, places, labels) from the start of each text on, and then from each place after that; all texts with as many languages."""
+    scores = np.concatenate([x[0] for x in texts])
+    k = scores.shape[1]
+    stay = np.arange(k)
+    stop = np.cumsum([len(x[0]) for x in texts])
+    start = stop - [len(x[0]) for x in texts]
+    back = np.zeros(scores.shape, np.min_scalar_type(k))
+    # of the texts that are still run: which, its best language, the run's first word, the next word, the values
+    which, best, first = np.arange(len(texts)), np.array([x[1] for x in texts]), start.copy()
+    at, v = first.copy(), np.zeros((len(texts), k))
+    runs: list[tuple[int, int, int]] = []  # the words, and the last label
+    while len(which):
+        top = v.argmax(axis=1)
+        jump = v[np.arange(len(v)), top][:, None] - penalty
+        back[at] = np.where(v >= jump, stay, top[:, None])
+        v = np.maximum(v, jump) + scores[at]
+        at += 1
+        leads = (v <= v[np.arange(len(v)), best][:, None] - penalty).sum(axis=1) == k - 1
+        done = np.flatnonzero(leads & (at > first + 1) | (at == stop[which]))
+        if not len(done):
+            continue
+        over = []
+        for i, j in zip(done.tolist(), v[done].argmax(axis=1).tolist(), strict=True):
+            runs.append((int(first[i]), int(at[i]), j))
+            text = which[i]
+            a = texts[text][2].after(int(at[i] - start[text])) if at[i] < stop[text] else None
+            if a is None:
+                over.append(i)
+                continue
+            first[i] = at[i] = start[text] + a
+            v[i] = -penalty
+            v[i, best[i]] = 0.0
+        if over:
+            which, best, first, at, v = (np.delete(x, over, axis=0) for x in (which, best, first, at, v))
+    labels = np.concatenate([x[3] for x in texts])
+    run = np.array(sorted(runs, key=lambda x: x[0] - x[1]))
+    size, j = run[:, 1] - run[:, 0], run[:, 2]
+    for t, m in enumerate(np.searchsorted(-size, -np.arange(size[0]), side="left").tolist()):  # m runs are longer than t
+        row = run[:m, 1] - 1 - t
+        labels[row] = j[:m]
+        j[:m] = back[row, j[:m]]
+    for x, a, b in zip(texts, start.tolist(), stop.tolist(), strict=True):
+        x[3][:] = labels[a:b]
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Counts over all texts with a language: each task adds up its own, and the sums by bucket are added after one shuffle.
 
@@ -235,22 +313,30 @@ def identify_batch(m: Model, buf: np.ndarray, offs: np.ndarray, penalty: float)
     at, script = _letters(buf)
     cuts = np.searchsorted(at, offs)
     starts, ends, first, scores = m.word_scores(buf, offs) if m.langs else (np.zeros(0, int),) * 4
+    fit: list[np.ndarray | None] = []
     for i in range(len(offs) - 1):
         letters = cuts[i + 1] - cuts[i]
         if letters == 0 and not _other_letter(bytes(buf[offs[i] : offs[i + 1]]).decode(errors="ignore")) or not m.langs:
-            yield "und", 0.0, []
+            fit.append(None)
             continue
         share = np.bincount(script[cuts[i] : cuts[i + 1]], minlength=len(_NAMES) + 1)[1:]
         fits = m.writes[:, share >= 0.02 * max(1, letters)].any(axis=1)
-        may = np.flatnonzero(fits) if fits.any() else np.arange(len(m.langs))
+        fit.append(np.flatnonzero(fits) if fits.any() else np.arange(len(m.langs)))
+    own_scores = [scores[first[i] : first[i + 1]] if len(may) == len(m.langs) else scores[first[i] : first[i + 1]][:, may] for i, may in enumerate(fit) if may is not None]
+    found = zip(own_scores, paths(own_scores, penalty), strict=True)
+    for i, may in enumerate(fit):
+        if may is None:
+            yield "und", 0.0, []
+            continue
         a, b = first[i], first[i + 1]
-        labels = may[viterbi(scores[a:b][:, may], penalty)]
-        size = (ends - starts)[a:b]
+        s, labels = next(found)
+        labels = may[labels]
+        size = ends[a:b] - starts[a:b]
         weight = np.bincount(labels, size, len(m.langs))
         lead = int(weight.argmax())
-        own = scores[a:b][labels == lead][:, may].sum(axis=0)
-        p = float(1 / np.exp(np.clip(own - own[np.flatnonzero(may == lead)[0]], -700, 700)).sum()) if len(own) else 0.0
         change = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
+        own = (s if len(change) == 1 else s[labels == lead]).sum(axis=0)
+        p = float(1 / np.exp(np.clip(own - own[np.flatnonzero(may == lead)[0]], -700, 700)).sum()) if len(own) else 0.0
         last = np.concatenate([change[1:], [len(labels)]]) - 1
         spans = [(int(starts[a + x] - offs[i]), int(ends[a + y] - offs[i]), m.langs[labels[x]]) for x, y in zip(change, last, strict=True)]
         yield m.langs[lead], min(1.0, p * float(weight[lead] / max(1, weight.sum()))), spans

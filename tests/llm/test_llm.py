@@ -401,6 +401,34 @@ def test_viterbi_equals_plain():
         assert np.isclose(s[np.arange(n), o].sum() - 6.0 * (o[1:] != o[:-1]).sum(), plain(s, 6.0))
 
 
+@pytest.mark.parametrize("long", [langid.LONG, 20])
+def test_paths_of_many_texts(monkeypatch, long):
+    """Texts of different lengths and numbers of languages together have each the path that it has alone, and a best one."""
+    monkeypatch.setattr(langid, "LONG", long)
+    r = np.random.default_rng(1)
+    texts = [r.normal(0, 2, (n, k)) for n, k in zip(r.integers(0, 60, 400), r.integers(1, 5, 400), strict=True)]
+    for s in texts:
+        s[:, 0] += 1.5
+        s[len(s) // 2 :][:12, -1] += 3
+    for s, o in zip(texts, langid.paths(texts, 6.0), strict=True):
+        assert o.tolist() == langid.viterbi(s, 6.0).tolist()
+        v = s[0].copy() if len(s) else np.zeros(1)
+        for row in s[1:]:
+            v = np.maximum(v, v.max() - 6.0) + row
+        assert np.isclose(s[np.arange(len(s)), o].sum() - 6.0 * (o[1:] != o[:-1]).sum(), v.max())
+
+
+def test_viterbi_of_many_switches_takes_linear_time():
+    """A text of 200,000 words that changes its language every 25 of them."""
+    s = np.zeros((200_000, 3))
+    lang = np.where(np.arange(len(s)) // 25 % 2, 1, 0)
+    lang[:1000] = 0
+    s[np.arange(len(s)), lang] = 2.0
+    s[:, 0] += 0.01
+    t = time.process_time()
+    assert (langid.viterbi(s, 12.0) == lang).all() and time.process_time() - t < 5
+
+
 def test_langid(spark):
     en, de, ru = "the house and the garden with that thing ", "der schöne Garten und das große Haus nicht ", "дом и сад что это было "
     docs = spark.createDataFrame([(i, t and t * 20, k, "s", 1) for i, (t, k) in enumerate([(en, "en"), (de, "de"), (ru, "ru"), (en, None), (None, "en")])], DOCS)
